@@ -185,16 +185,23 @@ def lint_scans(scans: DataFrame) -> DataFrame:
     return scans.select("scan_id", F.explode(found).alias("f")).select("scan_id", "f.level", "f.message")
 
 
-def selection_eligibility(selection: DataFrame) -> DataFrame:
-    """One row of allowed actions for a mixed selection of (kind, id) sources."""
-    n = lambda *k: F.count_if(F.col("kind").isin(*k))
-    return selection.agg(
-        F.count("*").alias("n"), n("preseg").alias("n_preseg"), n("instance").alias("n_instance"), n("sam").alias("n_sam")
-    ).select(
-        (F.col("n") > 0).alias("can_cut"), (F.col("n") > 0).alias("can_fit_box"),
-        ((F.col("n") == 1) & (F.col("n_preseg") == 0)).alias("can_remove_outliers"),
-        (F.col("n_instance") >= 2).alias("can_merge"),
-    )
+def selection_eligibility(rows: DataFrame) -> DataFrame:
+    """Adds cut, fit and outlier verdicts: null when allowed, else the reason.
+
+    ``rows`` = (list, selection_size, is_selected, confirmed, class_frozen, review_blob).
+    """
+    pool, inst = F.col("list").isin("preseg", "sam"), F.col("list") == "instance"
+    bad = F.raise_error(F.concat(F.lit("unknown list: "), F.coalesce("list", F.lit("null"))))
+    empty, off = F.col("selection_size") <= 0, ~F.col("is_selected")
+    cut = F.when(pool & empty, "empty").when(pool, F.lit(None)).when(inst & off, "not-selected").when(
+        inst & F.col("confirmed"), "confirmed"
+    ).when(inst & F.col("class_frozen"), "frozen-class").when(inst & F.col("review_blob"), "review-blob").when(inst, F.lit(None)).otherwise(bad)
+    fit = F.when(pool & empty, "empty").when(pool, F.lit(None)).when(inst & off, "not-selected").when(inst, F.lit(None)).otherwise(bad)
+    sam = F.col("list") == "sam"
+    out = F.when(sam & empty, "empty").when(sam & (F.col("selection_size") > 1), "multi").when(sam, F.lit(None)).when(
+        inst & off, "not-selected"
+    ).when(inst & F.col("confirmed"), "confirmed").when(inst, F.lit(None)).when(F.col("list") == "preseg", "unsupported").otherwise(bad)
+    return rows.withColumns({"cut_reason": cut, "fit_reason": fit, "outlier_reason": out})
 
 
 def verify_pins(sessions: DataFrame, presegs: DataFrame, source: DataFrame) -> DataFrame:
