@@ -42,17 +42,18 @@ def chords(paths: DataFrame) -> DataFrame:
     """
     n = F.size("points")
     curved = F.col("smooth") & (n >= 3)
-    spans = paths.filter(n >= 2).withColumn("w", F.explode(F.sequence(F.lit(1), n - 1)))
     at = lambda i: F.element_at("points", F.greatest(F.lit(1), F.least(i, n)).cast("int"))
-    spans = spans.select(
-        "path_id", "instance_id", "radius", "w", curved.alias("curved"),
-        at(F.col("w") - 1).alias("p0"), at(F.col("w")).alias("p1"),
-        at(F.col("w") + 1).alias("p2"), at(F.col("w") + 2).alias("p3"),
-    )
-    length = F.sqrt(sum(((F.col("p2")[i] - F.col("p1")[i]) * (F.col("p2")[i] - F.col("p1")[i]) for i in range(3)), F.lit(0.0)))
+    quad = lambda w: F.struct(w.alias("w"), *[at(w + j - 1).alias(f"p{j}") for j in range(4)])
+    spans = paths.filter(n >= 2).select(
+        "path_id", "instance_id", "radius", curved.alias("curved"),
+        F.explode(F.transform(F.sequence(F.lit(1), n - 1), quad)).alias("q"),
+    ).select("path_id", "instance_id", "radius", "curved", "q.*")
+    gap = F.zip_with("p1", "p2", lambda a, b: (b - a) * (b - a))
+    length = F.sqrt(F.aggregate(gap, F.lit(0.0), lambda t, v: t + v))
     step = F.greatest(F.col("radius") / 2.0, F.lit(1e-4))
     parts = F.when(F.col("curved"), F.greatest(F.ceil(length / step), F.lit(1))).otherwise(F.lit(1)).cast("int")
-    spans = spans.withColumn("parts", parts).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("parts"))))
+    pieces = F.transform(F.sequence(F.lit(1), parts), lambda i: F.struct(i.alias("i"), parts.alias("parts")))
+    spans = spans.withColumn("e", F.explode(pieces)).select("*", "e.i", "e.parts")
 
     def point(i: Column, axis: int) -> Column:
         t = i / F.col("parts")
