@@ -38,10 +38,9 @@ def project(points: DataFrame, frames: DataFrame, max_depth: float | None = MAX_
     if max_depth is None:
         joined = points.withColumn("_k", F.lit(0)).join(small(view.withColumn("_k", F.lit(0))), "_k").drop("_k")
     else:
-        shift = F.array(*[F.lit(i) for i in (-1, 0, 1)])
         for i, g in enumerate(("gx", "gy", "gz")):
-            base = F.floor(F.col("position")[i] / max_depth)
-            view = view.withColumn(g, F.explode(F.transform(shift, lambda s, b=base: b + s)))
+            home = F.floor(F.col("position")[i] / max_depth)
+            view = view.withColumn(g, F.explode(F.sequence(home - 1, home + 1)))
         keyed = points.withColumns({f"g{a}": F.floor(F.col(a) / max_depth) for a in "xyz"})
         joined = keyed.join(small(view), ["gx", "gy", "gz"]).drop("gx", "gy", "gz")
     cam = [sum((F.col(f"m{3 * i + j}") * F.col(a) for j, a in enumerate("xyz")), F.col(f"m{9 + i}")) for i in range(3)]

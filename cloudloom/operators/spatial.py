@@ -298,10 +298,10 @@ def radius_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
 
     The side is one cell per radius, so each a-row meets its 27 cells only.
     """
-    shift = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     left = a.select("scan_id", F.col("point_id").alias("a_id"), *[F.col(c).alias(f"a{c}") for c in AXES])
     for axis, c in zip(AXES, CELL):
-        left = left.withColumn(c, F.explode(F.transform(shift, lambda s, v=axis: F.floor(F.col(f"a{v}") / radius) + s)))
+        home = F.floor(F.col(f"a{axis}") / radius)
+        left = left.withColumn(c, F.explode(F.sequence(home - 1, home + 1)))
     right = b.select(
         "scan_id", F.col("point_id").alias("b_id"), *[F.col(c).alias(f"b{c}") for c in AXES],
         *[F.floor(F.col(v) / radius).alias(c) for v, c in zip(AXES, CELL)],

@@ -21,7 +21,9 @@ def query(name: str, sql: str | None = None, uses: str = ""):
         if sql is not None:
             head = ", ".join(f"{u} AS ({WITH[u]})" for u in uses.split())
             body = sql.strip()
-            if head and body.upper().startswith("WITH "):
+            if head and body.startswith("WITH RECURSIVE "):
+                body = f"WITH RECURSIVE {head}, {body[15:]}"
+            elif head and body.startswith("WITH "):
                 body = f"WITH {head}, {body[5:]}"
             elif head:
                 body = f"WITH {head} {body}"

@@ -454,13 +454,13 @@ def _(s, d):
     return out.agg(F.count("*").alias("n"), (F.abs(share - 2 / 3) < 0.01).alias("near_share"))
 
 
-@query("src17_faces_in_bbox", "SELECT p_partkey AS face_id FROM part WHERE p_partkey*0.01 BETWEEN (SELECT min(x) FROM li WHERE ia=7)-0.55 AND (SELECT max(x) FROM li WHERE ia=7)+0.45", "li")
+@query("src17_faces_in_bbox", "SELECT p_partkey AS face_id FROM part WHERE p_partkey*0.01 BETWEEN (SELECT min(x) FROM li WHERE ia=7)-0.553 AND (SELECT max(x) FROM li WHERE ia=7)+0.453", "li")
 def _(s, d):
     from ..sources.mesh import faces_in_selection_bbox
 
     tri = ad.table(s, d, "part").selectExpr("p_partkey AS face_id", *[f"p_partkey*0.01D + 0.05D AS {v}x" for v in "abc"], *[f"0.5D AS {v}{a}" for v in "abc" for a in "yz"])
     sel = ad.li(s, d).filter("ia = 7").select("x", F.lit(0.5).alias("y"), F.lit(0.5).alias("z"))
-    return faces_in_selection_bbox(tri, sel, 0.5).select("face_id")
+    return faces_in_selection_bbox(tri, sel, 0.503).select("face_id")
 
 
 @query("str2_edit_stream")
