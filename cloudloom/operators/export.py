@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import chords, loa_band
+from ..functions.shapes import in_obb, in_prism, segment_d2
 from ..schema import LOA_REST, UNSET
 from ..session import cut, small
 from .containment import points_in_boxes, points_in_prisms, points_in_tubes
@@ -151,17 +152,30 @@ def replay_labels(targets: DataFrame, scan: DataFrame, labels: DataFrame, boxes:
     ords = cut(ords)
     live = ords.groupBy("instance_id").agg(F.max("ord").alias("use"), F.min("ord").alias("place"))
     live = cut(ords.join(small(live), "instance_id").filter("ord = use").select("shape_id", "instance_id", "place"))
-    hits = None
+    rank = F.struct(F.coalesce(F.col("seq").cast("double"), F.lit(float("-inf"))), -F.col("place"))
+    ranks = live.join(small(seq), "instance_id", "left").select("shape_id", "instance_id", rank.alias("rank"))
+    hits, covers = None, None
+    in_box = in_obb(("cx", "cy", "cz"), ("sx", "sy", "sz"), ("rx", "ry", "rz"))
+    in_ring_band = in_prism("polygon", "y0", "height")
+    in_chord = segment_d2(("ax", "ay", "az"), ("bx", "by", "bz")) <= F.col("radius") * F.col("radius")
     for table, join in parts:
         used = table.join(small(live.select("shape_id", "instance_id")), ["shape_id", "instance_id"], "left_semi")
-        got = join(targets, used).join(small(live), "shape_id").select(*KEY, "instance_id", "place")
+        # Only the best covering volume of a point matters, so pairs fold as they appear.
+        got = join(targets, used).join(small(ranks), "shape_id").groupBy(*KEY).agg(F.max(F.struct("rank", "instance_id")).alias("w"))
         hits = got if hits is None else hits.unionByName(got)
-    hits = cut(hits)
     owner = labels.select("scan_id", F.col("point_id").alias("nn_id"), "instance_id")
     near = nearest_neighbor(targets, scan).join(owner, ["scan_id", "nn_id"]).select(*KEY, "instance_id")
+    near = cut(near.join(targets.select(*KEY, "x", "y", "z"), KEY))
     vol = small(live.select("instance_id").distinct().withColumn("_vol", F.lit(True)))
-    near = near.join(vol, "instance_id", "left").join(hits.select(*KEY, "instance_id", F.lit(True).alias("_in")), [*KEY, "instance_id"], "left")
-    near = cut(near.withColumn("leak", F.coalesce("_vol", F.lit(False)) & F.col("_in").isNull()))
+    owned = near.join(vol, "instance_id", "left_semi")
+    for table, exact in ((boxes, in_box), (prisms, in_ring_band), (tubes, in_chord)):
+        if table is not None:
+            used = table.join(small(live.select("shape_id", "instance_id")), ["shape_id", "instance_id"], "left_semi")
+            got = owned.join(small(used.drop("seq", "ord")), "instance_id").filter(exact).select(*KEY)
+            covers = got if covers is None else covers.unionByName(got)
+    covers = covers.distinct().withColumn("_in", F.lit(True))
+    near = near.join(vol, "instance_id", "left").join(covers, KEY, "left")
+    near = cut(near.select(*KEY, "instance_id", (F.coalesce("_vol", F.lit(False)) & F.col("_in").isNull()).alias("leak")))
     free = labels.join(vol, "instance_id", "left_anti").select(*KEY)
     lost = targets.join(near.filter("leak").select(*KEY), KEY, "left_semi")
     # Most points need no second search; an empty ``lost`` skips it.
@@ -170,10 +184,9 @@ def replay_labels(targets: DataFrame, scan: DataFrame, labels: DataFrame, boxes:
     else:
         back = nearest_neighbor(cut(lost), scan.join(free, KEY, "left_semi")).join(owner, ["scan_id", "nn_id"]).select(*KEY, "instance_id")
     base = near.filter("NOT leak").select(*KEY, "instance_id").unionByName(back).filter(F.col("instance_id") != UNSET)
-    cand = hits.unionByName(base.withColumn("place", F.lit(2**31 - 1)))
-    cand = cand.join(small(seq), "instance_id", "left")
-    rank = F.struct(F.coalesce(F.col("seq").cast("double"), F.lit(float("-inf"))), -F.col("place"))
-    won = cand.groupBy(*KEY).agg(F.max_by("instance_id", rank).alias("instance_id"))
+    base = base.withColumn("place", F.lit(2**31 - 1)).join(small(seq), "instance_id", "left")
+    cand = hits.unionByName(base.select(*KEY, F.struct(rank.alias("rank"), F.col("instance_id")).alias("w")))
+    won = cand.groupBy(*KEY).agg(F.max("w").alias("w")).select(*KEY, "w.instance_id")
     won = won.join(small(class_map), "instance_id", "left")
     none = F.raise_error(F.concat(F.lit("no class for instance "), F.col("instance_id").cast("string"))).cast("int")
     won = won.withColumn("class_id", F.coalesce("class_id", none))

@@ -30,7 +30,7 @@ EMB = """SELECT 'emb' AS scan_id, vec_id AS point_id, CAST(embedding[{0}] AS DOU
  CAST(label AS INT) AS class_id, embedding AS feature FROM embeddings"""
 
 BOXES = """SELECT CAST(p_partkey AS BIGINT) AS shape_id, p_size*CAST(0.2 AS DOUBLE) AS cx, CAST(0.6 AS DOUBLE) AS cy, p_retailprice/200 AS cz,
- CAST(1.5 AS DOUBLE) AS sx, CAST(1.0 AS DOUBLE) AS sy, CAST(2.0 AS DOUBLE) AS sz, CAST(0 AS DOUBLE) AS rx,
+ CAST(0.5 AS DOUBLE) AS sx, CAST(1.0 AS DOUBLE) AS sy, CAST(0.3 AS DOUBLE) AS sz, CAST(0 AS DOUBLE) AS rx,
  p_partkey*CAST(0.13 AS DOUBLE) AS ry, CAST(0 AS DOUBLE) AS rz, CAST(p_partkey%6 AS INT) AS class_id FROM part"""
 
 REGIONS = """SELECT CAST(n_nationkey AS BIGINT) AS shape_id, (n_nationkey%5)*CAST(2 AS DOUBLE) AS x0,

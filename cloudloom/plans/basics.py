@@ -352,7 +352,7 @@ def _(s, d):
 _MANY = _obb_sql(("cx", "cy", "cz"), ("sx", "sy", "sz"), ("rx", "ry", "rz"))
 
 
-@query("jn1_points_in_boxes", f"SELECT shape_id, count(*) AS n, min(point_id) AS first_id, max(point_id) AS last_id FROM li JOIN boxes ON x BETWEEN cx-1.3 AND cx+1.3 AND z BETWEEN cz-1.3 AND cz+1.3 AND {_MANY} GROUP BY 1", "li boxes")
+@query("jn1_points_in_boxes", f"SELECT shape_id, count(*) AS n, min(point_id) AS first_id, max(point_id) AS last_id FROM li JOIN boxes ON x BETWEEN cx-0.3 AND cx+0.3 AND z BETWEEN cz-0.3 AND cz+0.3 AND {_MANY} GROUP BY 1", "li boxes")
 def _(s, d):
     hits = co.points_in_boxes(ad.points(s, d), ad.boxes(s, d))
     return hits.groupBy("shape_id").agg(F.count("*").alias("n"), F.min("point_id").alias("first_id"), F.max("point_id").alias("last_id"))

@@ -109,11 +109,11 @@ def _(s, d):
 
 
 @query("agg31_coverage_metrics", """WITH g AS (SELECT * FROM boxes), p AS (SELECT shape_id, cx+0.1 AS cx, cy, cz, CASE WHEN shape_id%5=0 THEN 9 ELSE class_id END AS class_id FROM boxes WHERE shape_id%4<>0),
-i AS (SELECT g.shape_id, greatest(0,1.5-abs(g.cx-p.cx))*1.0*greatest(0,2.0-abs(g.cz-p.cz)) AS inter FROM g JOIN p ON g.class_id=p.class_id AND abs(g.cx-p.cx)<1.5 AND abs(g.cz-p.cz)<2.0), b AS (SELECT shape_id, max(inter/(6.0-inter)) AS iou FROM i GROUP BY 1)
-SELECT round(avg(CASE WHEN coalesce(iou,0)>=0.9 THEN 1.0 ELSE 0.0 END),6) AS coverage, round(avg(coalesce(iou,0)),5) AS best_iou_mean, round((SELECT count(*) FROM p)/CAST(count(*) AS DOUBLE),6) AS pred_per_gt FROM g LEFT JOIN b USING (shape_id)""", "boxes")
+i AS (SELECT g.shape_id, greatest(0,0.5-abs(g.cx-p.cx))*1.0*greatest(0,0.3-abs(g.cz-p.cz)) AS inter FROM g JOIN p ON g.class_id=p.class_id AND abs(g.cx-p.cx)<0.5 AND abs(g.cz-p.cz)<0.3), b AS (SELECT shape_id, max(inter/(0.3-inter)) AS iou FROM i GROUP BY 1)
+SELECT round(avg(CASE WHEN coalesce(iou,0)>=0.6 THEN 1.0 ELSE 0.0 END),6) AS coverage, round(avg(coalesce(iou,0)),5) AS best_iou_mean, round((SELECT count(*) FROM p)/CAST(count(*) AS DOUBLE),6) AS pred_per_gt FROM g LEFT JOIN b USING (shape_id)""", "boxes")
 def _(s, d):
     gt = ad.boxes(s, d).withColumn("scan_id", F.lit("p"))
-    out = cl.coverage_metrics(gt, _pred(s, d).filter("shape_id % 4 <> 0"), 0.9)
+    out = cl.coverage_metrics(gt, _pred(s, d).filter("shape_id % 4 <> 0"), 0.6)
     return out.select(R("coverage").alias("coverage"), R("best_iou_mean", 5).alias("best_iou_mean"), R("pred_per_gt").alias("pred_per_gt"))
 
 
