@@ -121,7 +121,7 @@ def set_category(
     log: DataFrame | None = None,
 ) -> Edit:
     """Mark points on the status axis: the class is erased; a review mark is one blob instance."""
-    code = CATEGORIES[category] if isinstance(category, str) else int(category)
+    code = CATEGORIES.get(category) if isinstance(category, str) else int(category)
     if isinstance(category, bool) or code not in CATEGORIES.values():
         raise ValueError(f"unknown category: {category!r}")
     kept, counts = protect(labels, selection, protected)
