@@ -12,7 +12,7 @@ HEADLINE = [
     "prd2_in_obb", "prd3_in_prism", "prd4_in_tube", "prd7_ops_chain", "jn1_points_in_boxes", "jn1_points_in_prisms", "agg1_segment_summary",
     "agg2_segment_metadata", "agg9_compare_per_class", "agg10_confusion_top", "agg12_region_stats", "agg22_instance_pca_obb",
     "win2_merge_priority", "win3_merge_vote", "lab3_reassign", "exp3_filters_remap", "smp4_voxel_downsample", "smp6_voxel_segments",
-    "clu1_components", "jn3_knn_dense_cloud", "clu3_dbscan", "lab9_replay_labels", "cam2_visible", "cam9_class_votes", "snk2_labeled_ply",
+    "clu1_components", "jn3_knn_dense_cloud", "clu3_dbscan", "lab9_replay_small_volumes", "cam2_visible", "cam9_class_votes", "snk2_labeled_ply",
 ]
 
 
