@@ -241,3 +241,12 @@ def _all_links(docs: DataFrame, nodes: DataFrame, stars: DataFrame, size: int, n
         fresh = fresh.unionAll(_pairs(keyed.filter(F.col("n") <= SMALL))).unionAll(_blocks(keyed.filter(F.col("n") > SMALL)))
     fresh = fresh.distinct().join(first, ["a", "b"], "left_anti")
     return cut(links.unionAll(_links(fresh, sets, num, den)))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component, with all columns; the others are what is joined.
+
+    Rows with a null doc_id have nothing to be dropped by and stay; rows that repeat the smallest doc_id all stay.
+    """
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(small(cut(gone), NARROW_ROWS), F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
