@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import BOX_FLOOR, CATEGORIES, FIT_PAD, MIN_SEGMENT_POINTS, REVIEW, UNSET
+from ..schema import BOX_FLOOR, CATEGORIES, FIT_PAD, MIN_SEGMENT_POINTS, REVIEW, UNSET, seg_key
 from ..session import small
 
 KEY = ["scan_id", "point_id"]
@@ -14,21 +14,19 @@ SEG = ["scan_id", "instance_id"]
 
 def label_join(points: DataFrame, labels: DataFrame, check: bool = True) -> DataFrame:
     """Points with their labels; tables that do not cover each other are an error."""
-    if check:
-        a = points.select(*KEY, F.lit(1).alias("_a"))
-        b = labels.select(*KEY, F.lit(1).alias("_b"))
-        gap = a.join(b, KEY, "full").filter(F.col("_a").isNull() | F.col("_b").isNull())
-        if not gap.isEmpty():
-            raise ValueError("points and labels do not cover the same ids")
-    return points.join(labels, KEY)
+    if not check:
+        return points.join(labels, KEY)
+    both = points.withColumn("_a", F.lit(1)).join(labels.withColumn("_b", F.lit(1)), KEY, "full")
+    gap = F.raise_error(F.lit("points and labels do not cover the same ids"))
+    return both.withColumn("_a", F.when(F.col("_a").isNull() | F.col("_b").isNull(), gap.cast("int")).otherwise(1)).filter("_a = 1").drop("_a", "_b")
 
 
 def segment_class_join(instances: DataFrame, summary: DataFrame) -> DataFrame:
     """Adds class_id from segment rows {id, class_id}; unknown ids give -1; beyond int8 is an error."""
     cls = F.col("class_id")
     checked = F.when(cls.between(-128, 127), cls).otherwise(F.raise_error(F.lit("class id outside int8")).cast("int"))
-    table = summary.select(F.col("id").alias("instance_id"), checked.cast("int").alias("class_id"))
-    return instances.join(small(table), "instance_id", "left").withColumn(
+    table = summary.withColumn("instance_id", F.col("id")).select(*seg_key(summary), checked.cast("int").alias("class_id"))
+    return instances.join(small(table), seg_key(table), "left").withColumn(
         "class_id", F.coalesce("class_id", F.lit(UNSET))
     )
 
@@ -180,10 +178,10 @@ def region_stats(regions: DataFrame, points: DataFrame, labels: DataFrame):
 
 def region_majority_instances(overlap: DataFrame, instances: DataFrame) -> DataFrame:
     """Confirmed instances with more than half of their points inside."""
-    ok = small(instances.filter("confirmed").select(F.col("segId").alias("instance_id")))
+    ok = instances.filter("confirmed").withColumn("instance_id", F.col("segId")).select(*seg_key(instances))
     frac = F.col("inside") / F.col("total")
     return (
-        overlap.join(ok, "instance_id", "left_semi").withColumn("fraction", frac).filter(frac > 0.5)
+        overlap.join(small(ok), seg_key(ok), "left_semi").withColumn("fraction", frac).filter(frac > 0.5)
         .orderBy("shape_id", F.desc("fraction"), "instance_id")
     )
 
@@ -401,8 +399,8 @@ def preseg_current_instances(labels: DataFrame, preseg_id: int) -> DataFrame:
 
 def orphan_instances(labels: DataFrame, instances: DataFrame) -> DataFrame:
     ids = labels.filter(F.col("instance_id") >= 0).select(*SEG).distinct()
-    doc = small(instances.select(F.col("segId").alias("instance_id")).distinct())
-    return ids.join(doc, "instance_id", "left_anti").select(*SEG)
+    doc = instances.withColumn("instance_id", F.col("segId")).select(*seg_key(instances)).distinct()
+    return ids.join(small(doc), seg_key(doc), "left_anti").select(*SEG)
 
 
 def strip_orphans(labels: DataFrame, instances: DataFrame | None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import chords, loa_band
 from ..functions.shapes import in_obb, in_prism, segment_d2
-from ..schema import LOA_REST, UNSET
+from ..schema import LOA_REST, UNSET, seg_key
 from ..session import cut, small
 from .containment import points_in_boxes, points_in_prisms, points_in_tubes
 from .sampling import chunk_reservoir, random_sample
@@ -83,8 +83,8 @@ def apply_filters_remap(labels: DataFrame, confirmed: DataFrame | None, include:
     """Confirmed-only, then include, then remap; ids absent from the document count as confirmed."""
     cls, out = F.col("class_id"), labels
     if confirmed is not None:
-        bad = confirmed.filter(~F.col("confirmed")).select("instance_id", F.lit(True).alias("_bad")).distinct()
-        out = out.join(small(bad), "instance_id", "left")
+        bad = confirmed.filter(~F.col("confirmed")).select(*seg_key(confirmed), F.lit(True).alias("_bad")).distinct()
+        out = out.join(small(bad), seg_key(confirmed), "left")
         cls = F.when(F.col("_bad"), UNSET).otherwise(cls)
     if include is not None:
         cls = F.when(cls.isin(list(include)), cls).otherwise(UNSET)
@@ -101,18 +101,18 @@ def surviving_instances(filtered: DataFrame) -> DataFrame:
 
 
 def absent_instances(labels: DataFrame, confirmed: DataFrame) -> DataFrame:
-    ids = labels.filter(F.col("instance_id") != UNSET).select("instance_id")
-    gone = ids.join(small(confirmed.select("instance_id").distinct()), "instance_id", "left_anti")
-    return gone.agg(F.count_distinct("instance_id").alias("n_absent"))
+    key = seg_key(confirmed)
+    ids = labels.filter(F.col("instance_id") != UNSET).select(*key)
+    gone = ids.join(small(confirmed.select(*key).distinct()), key, "left_anti")
+    return gone.agg(F.count_distinct(*key).alias("n_absent"))
 
 
 def instance_class_map(instances: DataFrame, labels: DataFrame) -> DataFrame:
-    """(instance_id, class_id): the document's class, else the first point's."""
-    first = labels.filter(F.col("instance_id") >= 0).groupBy("instance_id").agg(
-        F.min_by("class_id", F.struct(*KEY)).alias("_f")
-    )
-    doc = instances.filter(F.col("segId").isNotNull()).groupBy(F.col("segId").alias("instance_id")).agg(F.max("class_id").alias("_d"))
-    return first.join(doc, "instance_id", "full").select("instance_id", F.coalesce("_d", "_f").alias("class_id"))
+    """(instance_id, class_id): the document's class, else the first point's; per scan if the document names scans."""
+    key = seg_key(instances)
+    first = labels.filter(F.col("instance_id") >= 0).groupBy(*key).agg(F.min_by("class_id", F.struct(*KEY)).alias("_f"))
+    doc = instances.filter(F.col("segId").isNotNull()).withColumn("instance_id", F.col("segId")).groupBy(*key).agg(F.max("class_id").alias("_d"))
+    return first.join(doc, key, "full").select(*key, F.coalesce("_d", "_f").alias("class_id"))
 
 
 def collect_volumes(instances: DataFrame, paths: DataFrame):

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,21 +29,32 @@ def with_views(frames: DataFrame, up=(0.0, 1.0, 0.0)) -> DataFrame:
     )
 
 
-def project(points: DataFrame, frames: DataFrame, max_depth: float | None = MAX_DEPTH, up=(0.0, 1.0, 0.0)) -> DataFrame:
+def project(points: DataFrame, frames: DataFrame, max_depth: float | None = None, up=(0.0, 1.0, 0.0)) -> DataFrame:
     """(keys, frame_id, pu, pv, depth, in_front, width, height) with sub-pixel coordinates.
 
-    Points meet a frame through a grid as wide as the depth range, so a point is
-    projected only into cameras near it.  Without a range every frame sees every
-    point, which the operator's meaning asks for.
+    Without a range every frame sees every point, in front of it or not.  With one, points meet a frame through the grid
+    cells that its view up to this depth can touch; rows beyond the view may be missing.
     """
     view = with_views(frames, up)
     if max_depth is None:
         joined = points.withColumn("_k", F.lit(0)).join(small(view.withColumn("_k", F.lit(0))), "_k").drop("_k")
     else:
+        view = cut(view)  # matrices once per frame, not once per cell
+        cell = max_depth / 4
+        # The far corner of the view is this far away; the tangents of half its angles bound its sides.
+        side = [F.col(n) / 2.0 / F.col("focal") for n in ("width", "height")]
+        reach = max_depth * F.sqrt(1.0 + side[0] * side[0] + side[1] * side[1])
         for i, g in enumerate(("gx", "gy", "gz")):
-            home = F.floor(F.col("position")[i] / max_depth)
-            view = view.withColumn(g, F.explode(F.sequence(home - 1, home + 1)))
-        keyed = points.withColumns({f"g{a}": F.floor(F.col(a) / max_depth) for a in "xyz"})
+            low, high = (F.floor((F.col("position")[i] + sign * reach) / cell) for sign in (-1, 1))
+            view = view.withColumn(g, F.explode(F.sequence(low, high)))
+        # A cell stays if the ball around it reaches the view: its depth range and its four sides.
+        ball, mid = cell * math.sqrt(3) / 2, [(F.col(g) + 0.5) * cell for g in ("gx", "gy", "gz")]
+        at = [sum((F.col(f"m{3 * i + j}") * mid[j] for j in range(3)), F.col(f"m{9 + i}")) for i in range(3)]
+        touch = (-at[2] > -ball) & (-at[2] < max_depth + ball)
+        for c, t in zip(at, side):
+            touch = touch & (F.abs(c) - t * -at[2] <= ball * F.sqrt(1.0 + t * t))
+        view = view.filter(touch)
+        keyed = points.withColumns({f"g{a}": F.floor(F.col(a) / cell) for a in "xyz"})
         joined = keyed.join(small(view), ["gx", "gy", "gz"]).drop("gx", "gy", "gz")
     cam = [sum((F.col(f"m{3 * i + j}") * F.col(a) for j, a in enumerate("xyz")), F.col(f"m{9 + i}")) for i in range(3)]
     depth = -cam[2]

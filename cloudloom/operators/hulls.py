@@ -12,14 +12,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import BOX_FLOOR, FIT_PAD
+from ..session import cut, small
 
 SEG = ["scan_id", "instance_id"]
-_FAN = 16
+
+
+def _rim(pts: np.ndarray, directions: int = 32) -> np.ndarray:
+    """Without most inner points: those strictly inside the polygon of the extremes of some directions."""
+    if len(pts) <= directions:
+        return pts
+    turn = np.arange(directions) * (2 * np.pi / directions)
+    ring = pts[np.argmax(pts @ np.stack([np.cos(turn), np.sin(turn)]), axis=0)]
+    inside = np.ones(len(pts), bool)
+    for a, b in zip(ring, np.roll(ring, -1, axis=0)):
+        if (a != b).any():
+            inside &= (b[0] - a[0]) * (pts[:, 1] - a[1]) - (b[1] - a[1]) * (pts[:, 0] - a[0]) > 0
+    return pts[~inside] if (ring != ring[0]).any() else pts
 
 
 def hull_2d(pts: np.ndarray) -> np.ndarray:
     """Counter-clockwise hull vertices; collinear input leaves its two ends."""
-    pts = np.unique(pts, axis=0)
+    pts = np.unique(_rim(pts), axis=0)
     if len(pts) < 3:
         return pts
 
@@ -104,15 +117,27 @@ def _reducer(hull, names):
 
 
 def _vertices(pts: np.ndarray) -> np.ndarray:
+    """Points whose hull is the hull of all; of a flat set, its hull in its own plane."""
     got = hull_3d(pts)
-    return np.unique(pts, axis=0) if got is None else got[0]
+    if got is not None:
+        return got[0]
+    pts = np.unique(pts, axis=0)
+    if len(pts) < 4:
+        return pts
+    # The two directions of most variance span the plane (or line) of a flat set.
+    axes = np.linalg.svd(pts - pts.mean(0), full_matrices=False)[2][:2]
+    flat = (pts - pts[0]) @ axes.T
+    rim = {tuple(p) for p in hull_2d(flat).tolist()}
+    return pts[[tuple(p) in rim for p in flat.tolist()]]
 
 
 def _hull_candidates(rows: DataFrame, hull, names: list[str], max_rows: int = 4096) -> DataFrame:
-    """Few rows per instance whose hull equals the instance's hull."""
+    """Few rows per instance whose hull equals the instance's hull.
+
+    Each task keeps the hulls of its own rows; instances with more than ``max_rows`` rows left are merged in groups of
+    about that size, level by level, until they are small or all that is left is hull.
+    """
     schema = "scan_id string, instance_id int, " + ", ".join(f"{n} double" for n in names)
-    step = rows.select(*SEG, *[F.col(n).cast("double").alias(n) for n in names])
-    step = step.mapInPandas(_reducer(hull, names), schema)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         keep = pd.DataFrame(hull(pdf[names].to_numpy(float)), columns=names)
@@ -120,9 +145,18 @@ def _hull_candidates(rows: DataFrame, hull, names: list[str], max_rows: int = 40
         keep.insert(1, "instance_id", pdf["instance_id"].iloc[0])
         return keep
 
-    salt = F.pmod(F.spark_partition_id(), F.lit(_FAN)).alias("_s")
-    step = step.withColumn("_s", salt)
-    return step.groupBy(*SEG, "_s").applyInPandas(lambda pdf: merge(pdf), schema)
+    left = cut(rows.select(*SEG, *[F.col(n).cast("double").alias(n) for n in names]).mapInPandas(_reducer(hull, names), schema))
+    before = None
+    while True:
+        sizes = left.groupBy(*SEG).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_rows)
+        total = sizes.agg(F.sum("_n")).first()[0]
+        if total is None or (before is not None and total > 0.9 * before):
+            return left
+        before = total
+        groups = F.ceil(F.col("_n") / max_rows).cast("int")
+        wide = left.join(sizes, SEG).withColumn("_g", F.pmod(F.xxhash64(*names), groups))
+        wide = wide.groupBy(*SEG, "_g").applyInPandas(lambda pdf: merge(pdf), schema)
+        left = cut(left.join(sizes, SEG, "left_anti").unionByName(wide))
 
 
 def fit_gravity_obb(points: DataFrame) -> DataFrame:
@@ -132,22 +166,19 @@ def fit_gravity_obb(points: DataFrame) -> DataFrame:
     cand = _hull_candidates(flat, hull_2d, ["x", "z"])
 
     def box(pdf: pd.DataFrame) -> pd.DataFrame:
-        hull = hull_2d(pdf[["x", "z"]].to_numpy(float))
-        theta = 0.0
-        if len(hull) >= 3:
-            step = np.roll(hull, -1, axis=0) - hull
-            angles = np.arctan2(step[:, 1], step[:, 0])
-            c, s = np.cos(angles)[:, None], np.sin(angles)[:, None]
-            u = c * hull[:, 0] + s * hull[:, 1]
-            v = c * hull[:, 1] - s * hull[:, 0]
-            theta = -float(angles[np.argmin(np.ptp(u, axis=1) * np.ptp(v, axis=1))])
-        c, s = np.cos(theta), np.sin(theta)
-        u, v = hull[:, 0] * c - hull[:, 1] * s, hull[:, 0] * s + hull[:, 1] * c
-        cu, cv = (u.min() + u.max()) / 2, (v.min() + v.max()) / 2
+        rim = hull_2d(pdf[["x", "z"]].to_numpy(float))
+        edges = np.diff(rim, axis=0, append=rim[:1]) if len(rim) >= 3 else np.array([[1.0, 0.0]])
+        along = edges / np.linalg.norm(edges, axis=1, keepdims=True)
+        # One frame per edge: the edge and its left normal; all corners of the rim in all frames at once.
+        frames = np.stack([along, along[:, ::-1] * (-1.0, 1.0)], axis=1)
+        seen = frames @ rim.T
+        low, high = seen.min(axis=2), seen.max(axis=2)
+        i = int(np.argmin((high - low).prod(axis=1)))
+        centre = (low[i] + high[i]) / 2 @ frames[i]
+        size = np.maximum(high[i] - low[i], BOX_FLOOR) + FIT_PAD
         return pd.DataFrame([{
-            "scan_id": pdf["scan_id"].iloc[0], "instance_id": pdf["instance_id"].iloc[0],
-            "cx": cu * c + cv * s, "cz": cv * c - cu * s,
-            "sx": max(np.ptp(u), BOX_FLOOR) + FIT_PAD, "sz": max(np.ptp(v), BOX_FLOOR) + FIT_PAD, "ry": theta,
+            "scan_id": pdf["scan_id"].iloc[0], "instance_id": pdf["instance_id"].iloc[0], "cx": centre[0], "cz": centre[1],
+            "sx": size[0], "sz": size[1], "ry": -float(np.arctan2(along[i, 1], along[i, 0])),
         }])
 
     rects = cand.groupBy(*SEG).applyInPandas(
@@ -159,24 +190,33 @@ def fit_gravity_obb(points: DataFrame) -> DataFrame:
     )
 
 
+def box_mesh(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corners and outward triangles of an axis-aligned box: two triangles for each end of each axis."""
+    bits = np.indices((2, 2, 2)).reshape(3, 8).T
+    faces = []
+    for axis in range(3):
+        ring = np.zeros((4, 3), int)
+        ring[:, (axis + 1) % 3] = [0, 1, 1, 0]
+        ring[:, (axis + 2) % 3] = [0, 0, 1, 1]
+        for end in (0, 1):
+            ring[:, axis] = end
+            quad = (ring if end else ring[::-1]) @ [4, 2, 1]
+            faces += [quad[[0, 1, 2]], quad[[0, 2, 3]]]
+    return np.where(bits == 1, high, low), np.array(faces)
+
+
 def convex_hulls(points: DataFrame, resolution: float = 0.05) -> DataFrame:
     """(scan_id, instance_id, n, vertices, faces, volume) per segment; flat or tiny ones are boxes."""
     seg = points.filter("instance_id >= 0")
     counts = seg.groupBy(*SEG).agg(F.count("*").alias("n"))
     cand = _hull_candidates(seg, _vertices, ["x", "y", "z"])
-    # Corner order and triangles of the fallback box.
-    corners = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
-    sides = [[0, 2, 1], [0, 3, 2], [4, 5, 6], [4, 6, 7], [0, 1, 5], [0, 5, 4], [2, 3, 7], [2, 7, 6], [0, 4, 7], [0, 7, 3], [1, 2, 6], [1, 6, 5]]
-
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pts = pdf[["x", "y", "z"]].to_numpy(float)
         n = int(pdf["n"].iloc[0])
         got = hull_3d(pts) if n >= 4 else None
         if got is None:
             pad = resolution * 0.4 if n == 1 else resolution * 0.05
-            ends = np.stack([pts.min(0) - pad, pts.max(0) + pad])
-            verts = np.array([[ends[c[k], k] for k in range(3)] for c in corners])
-            faces = np.array(sides)
+            verts, faces = box_mesh(pts.min(0) - pad, pts.max(0) + pad)
         else:
             verts, faces = got
         a, b, c = (verts[faces[:, i]] for i in range(3))
@@ -194,7 +234,7 @@ def convex_hulls(points: DataFrame, resolution: float = 0.05) -> DataFrame:
 
 def instance_meshes(points: DataFrame, ids: DataFrame, min_points: int = 100) -> DataFrame:
     """Hull mesh per wanted instance, or the reason it was skipped."""
-    want = points.join(F.broadcast(ids.select(*SEG).distinct()) if ids.isLocal() else ids.select(*SEG).distinct(), SEG, "left_semi")
+    want = points.join(small(ids.select(*SEG).distinct()), SEG, "left_semi")
     sizes = want.groupBy(*SEG).count()
     big = want.join(sizes.filter(F.col("count") >= min_points).select(*SEG), SEG, "left_semi")
     mesh = convex_hulls(big).filter("NOT is_box").select(*SEG, "vertices", "faces")

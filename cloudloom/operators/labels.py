@@ -25,6 +25,12 @@ class Edit:
     delta: DataFrame | None
     counts: DataFrame | None = None
     new_instance_id: int | None = None
+    erased: DataFrame | None = None
+
+    @property
+    def deltas(self) -> list[DataFrame]:
+        """All deltas in the order in which they apply; undo takes them back in reverse."""
+        return [d for d in (self.erased, self.delta) if d is not None]
 
 
 def _ids(spark, values) -> DataFrame:
@@ -84,14 +90,14 @@ def merge_instances(labels: DataFrame, source: int, target: int) -> Edit:
     if source == target:
         return Edit(labels, None)
     sel = labels.filter(F.col("instance_id") == source)
-    lead = labels.filter(F.col("instance_id").isin(source, target)).groupBy("instance_id").agg(
-        F.min_by("class_id", F.struct(*KEY)).alias("c")
-    )
-    first = {r["instance_id"]: r["c"] for r in lead.collect()}
-    if source not in first:
+    first = lambda i: F.min_by(F.when(F.col("instance_id") == i, F.col("class_id")), F.when(F.col("instance_id") == i, F.col("point_id")))
+    lead = labels.filter(F.col("instance_id").isin(source, target)).groupBy("scan_id").agg(first(source).alias("_s"), first(target).alias("_t"))
+    lead = lead.filter("_s IS NOT NULL").select("scan_id", F.coalesce("_t", "_s").alias("_cls"))
+    if is_empty(lead):
         return Edit(labels, None)
-    cls = first.get(target, first[source])
-    return _apply(labels, sel, "merge", {"instance_id": F.lit(target), "class_id": F.lit(cls)})
+    edit = _apply(labels.join(small(lead), "scan_id", "left"), sel, "merge", {"instance_id": F.lit(target), "class_id": F.col("_cls")})
+    edit.labels = edit.labels.select(*labels.columns)
+    return edit
 
 
 def reassign(
@@ -159,11 +165,14 @@ def upsert_paths(paths: DataFrame, new_paths: DataFrame, instance: int, merged_f
 
 def apply_centerline(points, labels, paths: DataFrame, new_paths: list[dict], path_rows: DataFrame, class_id: int, instance: int | None = None, merged_from=(), protected=None, log=None):
     """Tube edit plus the path upsert; merged instances give up their points first."""
+    erased = None
     if merged_from:
         gone = labels.join(small(_ids(labels.sparkSession, merged_from)), "instance_id", "left_semi")
-        labels = _apply(labels, gone, "reassign", {"instance_id": F.lit(UNSET), "class_id": F.lit(UNSET)}).labels
+        first = _apply(labels, gone, "reassign", {"instance_id": F.lit(UNSET), "class_id": F.lit(UNSET)})
+        labels, erased = first.labels, first.delta
     shape = {"type": "tube", "paths": new_paths}
     edit = apply_shape(points, labels, shape, class_id=class_id, instance=instance, protected=protected, log=log)
+    edit.erased = erased
     owner = edit.new_instance_id if edit.new_instance_id is not None else instance
     return edit, paths if owner is None else upsert_paths(paths, path_rows, owner, merged_from)
 
@@ -299,11 +308,15 @@ def denoise(points: DataFrame, labels: DataFrame, replace_instance: int | None =
     """Global outliers become one artifact blob; the previous blob is erased unless locked."""
     from .cluster import sor_outliers
 
+    erased = None
     if replace_instance is not None and replace_instance not in (protected or []):
         old = labels.filter(F.col("instance_id") == replace_instance)
-        labels = _apply(labels, old, "reassign", {"instance_id": F.lit(UNSET), "class_id": F.lit(UNSET)}).labels
+        first = _apply(labels, old, "reassign", {"instance_id": F.lit(UNSET), "class_id": F.lit(UNSET)})
+        labels, erased = first.labels, first.delta
     outliers = sor_outliers(points, k, std_ratio)
-    return set_category(labels, outliers, ARTIFACT, protected, allocate=True, log=log)
+    edit = set_category(labels, outliers, ARTIFACT, protected, allocate=True, log=log)
+    edit.erased = erased
+    return edit
 
 
 def denoise_selection(points: DataFrame, labels: DataFrame, source: str, seg_id: int, k: int = 16, std_ratio: float = 2.0):

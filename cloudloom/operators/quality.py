@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import CATEGORIES, GATE_MAX_P90, GATE_MAX_REVIEW, GATE_MIN_P50, GATE_MIN_POINTS, REVIEW, UNSET
+from ..schema import CATEGORIES, GATE_MAX_P90, GATE_MAX_REVIEW, GATE_MIN_P50, GATE_MIN_POINTS, REVIEW, UNSET, seg_key
 from ..session import small
 
 KEY = ["scan_id", "point_id"]
@@ -27,9 +27,9 @@ def enforce(*checks: DataFrame) -> None:
     out = checks[0]
     for c in checks[1:]:
         out = out.unionByName(c)
-    bad = out.limit(20).collect()
-    if bad:
-        raise ValueError("; ".join(f"{r.rule}[{r.key}]: {r.message} ({r.n_bad})" for r in bad))
+    rules = out.groupBy("rule", "message").agg(F.count("*").alias("n"), F.sum("n_bad").alias("n_bad"), F.min("key").alias("key")).orderBy("rule").collect()
+    if rules:
+        raise ValueError("; ".join(f"{r.rule}[{r.key}, {r.n} in all]: {r.message} ({r.n_bad})" for r in rules))
 
 
 def class_iff_instance(labels: DataFrame) -> DataFrame:
@@ -72,13 +72,13 @@ def review_budget(in_region: DataFrame, budget: float = 0.03) -> DataFrame:
 
 def instance_docs(labels: DataFrame, instances: DataFrame, blobs: DataFrame) -> DataFrame:
     ids = labels.filter("instance_id >= 0 AND class_id >= 0").groupBy("scan_id", "instance_id").agg(F.count("*").alias("n"))
-    doc = small(instances.filter("class_id IS NOT NULL").select(F.col("segId").alias("instance_id")).distinct())
-    out = _rows(ids.join(doc, "instance_id", "left_anti"), "VAL7", F.col("instance_id"), F.col("n"), "labelled instance has no classed row")
+    doc = instances.filter("class_id IS NOT NULL").withColumn("instance_id", F.col("segId")).select(*seg_key(instances)).distinct()
+    out = _rows(ids.join(small(doc), seg_key(doc), "left_anti"), "VAL7", F.col("instance_id"), F.col("n"), "labelled instance has no classed row")
     have = labels.groupBy("scan_id").agg(F.count_if((F.col("category") == REVIEW) & (F.col("instance_id") >= 0)).alias("n"))
     want = blobs.groupBy("scan_id").agg(F.sum("n_points").alias("m"))
     off = have.join(want, "scan_id", "left").filter(F.col("n") != F.coalesce("m", F.lit(0)))
     out = out.unionByName(_rows(off, "VAL7", F.col("n"), F.abs(F.col("n") - F.coalesce("m", F.lit(0))), "review points differ from blob total"))
-    classed = blobs.join(small(instances.filter("class_id IS NOT NULL").select(F.col("segId").alias("instance_id"))), "instance_id", "left_semi")
+    classed = blobs.join(small(doc), seg_key(doc), "left_semi")
     return out.unionByName(_rows(classed, "VAL7", F.col("instance_id"), F.col("n_points"), "review blob row has a class"))
 
 
@@ -113,8 +113,8 @@ def regions_fine_enough(regions: DataFrame, limit: float = GATE_MAX_P90) -> Data
 
 
 def confirmed_clean(labels: DataFrame, instances: DataFrame) -> DataFrame:
-    sure = small(instances.filter("confirmed").select(F.col("segId").alias("instance_id"), F.col("class_id").alias("doc_class")))
-    rows = labels.join(sure, "instance_id")
+    sure = instances.filter("confirmed").withColumn("instance_id", F.col("segId")).select(*seg_key(instances), F.col("class_id").alias("doc_class"))
+    rows = labels.join(small(sure), seg_key(sure))
     bad = rows.filter(F.col("doc_class").isNull() | (F.col("category") != 0))
     return _count(bad, "VAL13", "confirmed instance is class-less or marked", "instance_id")
 

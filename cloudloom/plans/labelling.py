@@ -45,10 +45,10 @@ def _(s, d):
     return ag.label_join(ad.points(s, d), ad.labels(s, d)).select("point_id", R("x").alias("x"), "class_id")
 
 
-@query("jn6_segment_class_join", "SELECT point_id, CAST(coalesce(p_size%6,-1) AS INT) AS class_id FROM li LEFT JOIN (SELECT * FROM part WHERE p_partkey<150) p ON preseg_id=p_partkey", "li")
+@query("jn6_segment_class_join", "SELECT point_id, CAST(coalesce(p_size%6,-1) AS INT) AS class_id FROM li LEFT JOIN part ON preseg_id=p_partkey", "li")
 def _(s, d):
     inst = ad.li(s, d).select("point_id", F.col("preseg_id").alias("instance_id"))
-    summary = ad.table(s, d, "part").filter("p_partkey < 150").selectExpr("CAST(p_partkey AS INT) AS id", "p_size%6 AS class_id")
+    summary = ad.table(s, d, "part").selectExpr("CAST(p_partkey AS INT) AS id", "p_size%6 AS class_id")
     return ag.segment_class_join(inst, summary).select("point_id", "class_id")
 
 
@@ -392,11 +392,11 @@ def _(s, d):
     return ag.subtract_points(ad.points(s, d), _sel(s, d)).select("point_id")
 
 
-@query("set6_upsert_paths", "SELECT CAST(s_suppkey AS INT) AS path_id, CAST(s_suppkey%10 AS INT) AS instance_id FROM supplier WHERE s_suppkey%10 NOT IN (3,4,5) UNION ALL SELECT CAST(s_suppkey+100000 AS INT), 3 FROM supplier WHERE s_suppkey<4")
+@query("set6_upsert_paths", "SELECT CAST(s_suppkey AS INT) AS path_id, CAST(s_suppkey%10 AS INT) AS instance_id FROM supplier WHERE s_suppkey%10 NOT IN (3,4,5) UNION ALL SELECT CAST(s_suppkey+100000 AS INT), 3 FROM supplier")
 def _(s, d):
     sup = ad.table(s, d, "supplier")
     old = sup.selectExpr("CAST(s_suppkey AS INT) AS path_id", "CAST(s_suppkey%10 AS INT) AS instance_id")
-    new = sup.filter("s_suppkey<4").selectExpr("CAST(s_suppkey+100000 AS INT) AS path_id")
+    new = sup.selectExpr("CAST(s_suppkey+100000 AS INT) AS path_id")
     return lb.upsert_paths(old, new, 3, [4, 5])
 
 
@@ -475,10 +475,10 @@ def _(s, d):
     return lb.strip_unclassified(lab)[0].select("point_id", "instance_id")
 
 
-@query("lab14_seed_session", "WITH n AS (SELECT preseg_id, count(*) k FROM li GROUP BY 1) SELECT point_id, CASE WHEN k<320 THEN -1 ELSE li.preseg_id END AS instance_id, CAST(CASE WHEN k<320 OR li.preseg_id>=150 THEN -1 ELSE li.preseg_id%6 END AS INT) AS class_id FROM li JOIN n ON li.preseg_id=n.preseg_id", "li")
+@query("lab14_seed_session", "WITH n AS (SELECT preseg_id, count(*) k FROM li GROUP BY 1) SELECT point_id, CASE WHEN k<320 THEN -1 ELSE li.preseg_id END AS instance_id, CAST(CASE WHEN k<320 THEN -1 ELSE li.preseg_id%6 END AS INT) AS class_id FROM li JOIN n ON li.preseg_id=n.preseg_id", "li")
 def _(s, d):
     lab = ad.labels(s, d)
-    summary = ad.table(s, d, "part").filter("p_partkey<150").selectExpr("CAST(p_partkey AS INT) AS id", "CAST(p_partkey%6 AS INT) AS class_id")
+    summary = ad.table(s, d, "part").selectExpr("CAST(p_partkey AS INT) AS id", "CAST(p_partkey%6 AS INT) AS class_id")
     return lb.seed_session(ad.points(s, d), lab.selectExpr("scan_id", "point_id", "preseg_id AS instance_id"), summary, 320).select("point_id", "instance_id", "class_id")
 
 

@@ -127,3 +127,8 @@ EDGE = T.StructType(
         T.StructField("dirty", T.BooleanType()),
     ]
 )
+
+
+def seg_key(table) -> list[str]:
+    """Key of instance rows: those with a scan_id hold for their scan only, others for every scan."""
+    return ["scan_id", "instance_id"] if "scan_id" in table.columns else ["instance_id"]

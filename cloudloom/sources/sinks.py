@@ -103,12 +103,25 @@ def current_version(spark: SparkSession, root: str) -> str | None:
     fs, p = _fs(spark, f"{root}/pointer")
     if not fs.exists(p):
         return None
-    return spark.read.schema("version string").json(f"{root}/pointer").agg(F.max("version")).first()[0]
+    rows = spark.read.schema("version string, commit bigint").json(f"{root}/pointer")
+    return rows.agg(F.max_by("version", F.struct("commit", "version"))).first()[0]
 
 
-def save_labels(labels: DataFrame, root: str, manifest: DataFrame | None = None, checks: list[DataFrame] = (), version: str | None = None, keep: int = KEEP) -> str:
+def _commits(spark: SparkSession, root: str) -> dict[str, int]:
+    """Latest commit number of each version; a few rows, one per save."""
+    fs, p = _fs(spark, f"{root}/pointer")
+    if not fs.exists(p):
+        return {}
+    rows = spark.read.schema("version string, commit bigint").json(f"{root}/pointer").groupBy("version").agg(F.max(F.coalesce("commit", F.lit(0))).alias("commit"))
+    return {r["version"]: r["commit"] for r in rows.collect()}
+
+
+def save_labels(labels: DataFrame, root: str, manifest: DataFrame | None = None, checks: list[DataFrame] = (), version: str | None = None, keep: int = KEEP, again: bool = False) -> str:
     """Checked write of a new version; the pointer row is appended last, then old versions go.
 
+    Pointer rows are numbered by commit, so the latest save is current whatever its version is called; ``again`` lets a
+    repeated epoch overwrite its own version.
+
     A reader sees the former version until the pointer names the new one.
     """
     from ..operators.quality import enforce
@@ -117,13 +130,17 @@ def save_labels(labels: DataFrame, root: str, manifest: DataFrame | None = None,
         enforce(*checks)
     spark = labels.sparkSession
     version = version or _stamp()
-    labels.write.mode("errorifexists").parquet(f"{root}/versions/{version}/labels")
+    mode = "overwrite" if again else "errorifexists"
+    labels.write.mode(mode).parquet(f"{root}/versions/{version}/labels")
     if manifest is not None:
-        manifest.write.parquet(f"{root}/versions/{version}/manifest")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{root}/pointer")
+        manifest.write.mode(mode).parquet(f"{root}/versions/{version}/manifest")
+    commits = _commits(spark, root)
+    commit = max(commits.values(), default=0) + 1
+    spark.createDataFrame([(version, commit)], "version string, commit bigint").coalesce(1).write.mode("append").json(f"{root}/pointer")
+    commits[version] = commit
     fs, p = _fs(spark, f"{root}/versions")
-    names = sorted((s.getPath().getName() for s in fs.listStatus(p)), reverse=True)
-    for old in [n for n in names if re.fullmatch(r"\d{8}_\d{6}", n)][keep + 1:]:
+    names = sorted((s.getPath().getName() for s in fs.listStatus(p)), key=lambda n: (commits.get(n, 0), n), reverse=True)
+    for old in [n for n in names if re.fullmatch(r"\d{8}_\d{6}|auto_\d+", n)][keep + 1:]:
         fs.delete(_fs(spark, f"{root}/versions/{old}")[1], True)
     return version
 

@@ -29,24 +29,27 @@ class SessionHistory(StatefulProcessor):
     """Per session: allocates ids never used before and resolves undo and redo.
 
     State is the undo stack (at most ``HISTORY_CAP`` edits), the redo stack, the
-    next instance id and the last sequence number, which drops replays.
+    next instance id, and the sequence numbers seen so far, which drop replays.
+    A command that comes later than its number says still counts.
     """
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("history", "undo array<bigint>, redo array<bigint>, next_id bigint, last_seq bigint")
+        self.state = handle.getValueState("history", "undo array<bigint>, redo array<bigint>, next_id bigint")
+        self.seen = handle.getMapState("seen", "edit_seq bigint", "op string")
 
     def handleInputRows(self, key, rows, timerValues):
         cmds = pd.concat(list(rows)).sort_values("edit_seq")
         if self.state.exists():
-            undo, redo, next_id, last = self.state.get()
+            undo, redo, next_id = self.state.get()
             undo, redo = list(undo), list(redo)
         else:
-            undo, redo, next_id, last = [], [], 0, -1
+            undo, redo, next_id = [], [], 0
         out = []
         for c in cmds.itertuples(index=False):
-            if c.edit_seq <= last:
+            if self.seen.containsKey((int(c.edit_seq),)):
                 continue
-            last, target, new_id = c.edit_seq, c.edit_seq, UNSET
+            self.seen.updateValue((int(c.edit_seq),), (c.op,))
+            target, new_id = c.edit_seq, UNSET
             active = True
             if c.op == "undo":
                 if not undo:
@@ -65,7 +68,7 @@ class SessionHistory(StatefulProcessor):
                 undo = (undo + [c.edit_seq])[-HISTORY_CAP:]
                 redo = []
             out.append((key[0], key[1], c.edit_seq, c.op, target, active, new_id))
-        self.state.update((undo, redo, next_id, last))
+        self.state.update((undo, redo, next_id))
         yield pd.DataFrame(out, columns=["scan_id", "session_id", "edit_seq", "op", "target_seq", "active", "new_instance_id"])
 
     def close(self) -> None:
@@ -118,7 +121,7 @@ def autosave(changes: DataFrame, current, root: str, checkpoint: str):
 
     def each(batch: DataFrame, epoch: int) -> None:
         if not batch.isEmpty():
-            save_labels(current(), root, version=f"20000101_{epoch:06d}")
+            save_labels(current(), root, version=f"auto_{epoch}", again=True)
 
     return (
         changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
