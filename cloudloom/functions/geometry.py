@@ -63,7 +63,7 @@ def chords(paths: DataFrame) -> DataFrame:
 
     start, stop = F.col("i") - 1, F.col("i")
     return spans.select(
-        "path_id", "instance_id", "radius", (F.col("w") * 100000 + F.col("i")).alias("seg"),
+        "path_id", "instance_id", "radius", (F.shiftleft(F.col("w").cast("bigint"), 32) + F.col("i")).alias("seg"),
         *[point(start, k).alias(f"a{c}") for k, c in enumerate("xyz")],
         *[point(stop, k).alias(f"b{c}") for k, c in enumerate("xyz")],
     )

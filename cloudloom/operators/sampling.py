@@ -12,10 +12,11 @@ from ..session import cut, small
 
 
 def stride_sample(points: DataFrame, max_points: int, n: int | None = None) -> DataFrame:
-    """Every ``ceil(n / max)``-th point by point id."""
-    n = points.count() if n is None else n
-    stride = max(1, math.ceil(n / max_points))
-    return points.filter(F.pmod("point_id", F.lit(stride)) == 0)
+    """Every ``ceil(n / max)``-th point by point id; n counts the points of each scan unless given."""
+    if n is not None:
+        return points.filter(F.pmod("point_id", F.lit(max(1, math.ceil(n / max_points)))) == 0)
+    strides = points.groupBy("scan_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / max_points)).cast("bigint").alias("_stride"))
+    return points.join(small(strides), "scan_id").filter(F.pmod("point_id", "_stride") == 0).select(*points.columns)
 
 
 def _draw(seed: int) -> Column:
@@ -23,37 +24,24 @@ def _draw(seed: int) -> Column:
 
 
 def random_sample(points: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows without replacement, the same rows on every run.
+    """Exactly n rows of each scan without replacement (all of a smaller one), the same rows on every run.
 
-    The n-th smallest hash is located first, from counts of hash buckets, so the
-    draw is a filter: no global sort and no single task holding the sample.
+    The n-th smallest hash of a scan is located from counts of hash slots, so the draw is a filter; only the rows of
+    the slot where n is reached, about a millionth of the scan, are ranked.
     """
     if n <= 0:
         return points.limit(0)
-    keyed = points.withColumn("_h", _draw(seed))
-    low, width = -(2**63), 2**64
-    before = 0
-    kept = keyed.select("_h", "scan_id", "point_id")
-    while True:
-        step = max(1, math.ceil(width / 4096))
-        slot = F.floor((F.col("_h").cast("decimal(20,0)") - F.lit(low)) / F.lit(step)).cast("int")
-        counts = {r[0]: r[1] for r in kept.groupBy(slot.alias("s")).count().collect()}
-        if before + sum(counts.values()) <= n:
-            return points
-        for s in sorted(counts):
-            if before + counts[s] > n:
-                break
-            before += counts[s]
-        low, width = low + s * step, step
-        if width == 1 or counts[s] <= 4096:
-            break
-        kept = kept.filter((F.col("_h") >= low) & (F.col("_h") < low + width))
-    high = low + width
-    edge = kept.filter((F.col("_h") >= low) & (F.col("_h") <= min(high - 1, 2**63 - 1)))
-    last = edge.orderBy("_h", "scan_id", "point_id").limit(n - before).select("scan_id", "point_id")
-    sure = keyed.filter(F.col("_h") < F.lit(low).cast("bigint")) if low > -(2**63) else keyed.limit(0)
-    rest = keyed.join(F.broadcast(last), ["scan_id", "point_id"], "left_semi") if n > before else keyed.limit(0)
-    return sure.unionByName(rest.select(*keyed.columns)).drop("_h").select(*points.columns)
+    keyed = points.withColumn("_h", _draw(seed)).withColumn("_slot", F.shiftright("_h", 44))
+    counts = keyed.groupBy("scan_id", "_slot").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("scan_id").orderBy("_slot"))
+    edges = counts.withColumn("_to", upto).filter(F.col("_to") > n).groupBy("scan_id").agg(
+        F.min("_slot").alias("_edge"), F.min_by(F.col("_to") - F.col("_c"), "_slot").alias("_before")
+    )
+    rows = keyed.join(small(cut(edges)), "scan_id", "left")
+    sure = rows.filter(F.col("_edge").isNull() | (F.col("_slot") < F.col("_edge")))
+    rank = F.row_number().over(Window.partitionBy("scan_id").orderBy("_h", "point_id"))
+    last = rows.filter("_slot = _edge").withColumn("_r", rank).filter(F.col("_r") <= n - F.col("_before"))
+    return sure.select(*points.columns).unionByName(last.select(*points.columns))
 
 
 def region_sample(points: DataFrame, low, high, max_points: int | None = None, seed: int = 42):
@@ -62,7 +50,7 @@ def region_sample(points: DataFrame, low, high, max_points: int | None = None, s
         raise ValueError("region max must exceed min on every axis")
     region = points.filter(in_aabb(low, high))
     total = region.count()
-    if max_points is not None and total > max_points:
+    if max_points is not None:  # of each scan
         region = random_sample(region, max_points, seed)
     return region, total
 
@@ -170,13 +158,11 @@ def segment_sizes(segments: DataFrame) -> DataFrame:
 
 
 def chunk_reservoir(points: DataFrame, n_chunks: int = 5, chunk: int = 1_000_000, seed: int = 0) -> DataFrame:
-    """All points of ``n_chunks`` seeded whole runs of ``chunk`` consecutive ids."""
+    """All points of ``n_chunks`` seeded whole runs of ``chunk`` consecutive ids of each scan."""
     keyed = points.withColumn("_c", F.floor(F.col("point_id") / chunk).cast("bigint"))
-    picks = (
-        keyed.select("scan_id", "_c").distinct()
-        .orderBy(F.xxhash64(F.lit(seed), "scan_id", "_c"), "scan_id", "_c").limit(n_chunks)
-    )
-    return keyed.join(F.broadcast(picks), ["scan_id", "_c"], "left_semi").select(*points.columns)
+    order = Window.partitionBy("scan_id").orderBy(F.xxhash64(F.lit(seed), "scan_id", "_c"), "_c")
+    picks = keyed.select("scan_id", "_c").distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n_chunks)
+    return keyed.join(small(picks.select("scan_id", "_c")), ["scan_id", "_c"], "left_semi").select(*points.columns)
 
 
 def subsample_and_propagate(points: DataFrame, n: int, segment, seed: int = 42) -> DataFrame:
