@@ -118,7 +118,16 @@ def _(s, d):
     return moved.select("shape_id", *[R(c).alias(n) for n, c in fr.prism_aabb("p").items()])
 
 
-@query("fn10_catmull_rom")
+@query("fn10_catmull_rom", """WITH s AS (SELECT s_suppkey//4 AS path_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY s_suppkey//4) AS n,
+ s_suppkey*CAST(0.5 AS DOUBLE) AS x, s_acctbal/CAST(2000 AS DOUBLE) AS y, (s_suppkey%7)*CAST(0.3 AS DOUBLE) AS z FROM supplier WINDOW w AS (PARTITION BY s_suppkey//4 ORDER BY s_suppkey)),
+q AS (SELECT b.path_id, b.i, b.n, [a.x,a.y,a.z] AS p0, [b.x,b.y,b.z] AS p1, [c.x,c.y,c.z] AS p2, [d.x,d.y,d.z] AS p3,
+ sqrt((c.x-b.x)*(c.x-b.x)+(c.y-b.y)*(c.y-b.y)+(c.z-b.z)*(c.z-b.z)) AS len FROM s b JOIN s c ON c.path_id=b.path_id AND c.i=b.i+1
+ JOIN s a ON a.path_id=b.path_id AND a.i=greatest(1,b.i-1) JOIN s d ON d.path_id=b.path_id AND d.i=least(b.n,b.i+2)),
+g AS (SELECT *, CASE WHEN n>=3 THEN greatest(1, CAST(ceil(len/CAST(0.2 AS DOUBLE)) AS BIGINT)) ELSE 1 END AS parts FROM q),
+e AS (SELECT *, unnest(range(1, parts+1)) AS j FROM g), t AS (SELECT *, j/CAST(parts AS DOUBLE) AS t FROM e),
+v AS (SELECT path_id, i, j, list_transform([1,2,3], lambda k: CASE WHEN n<3 THEN p2[k] ELSE 0.5*(2*p1[k]+(p2[k]-p0[k])*t+(2*p0[k]-5*p1[k]+4*p2[k]-p3[k])*t*t+(3*p1[k]-p0[k]-3*p2[k]+p3[k])*t*t*t) END) AS o FROM t)
+SELECT path_id, 0 AS seq, round(x,6) AS x, round(y,6) AS y, round(z,6) AS z FROM s WHERE i=1 AND n>=2
+UNION ALL SELECT path_id, CAST(row_number() OVER (PARTITION BY path_id ORDER BY i, j) AS INT), round(o[1],6), round(o[2],6), round(o[3],6) FROM v""")
 def _(s, d):
     """Smooth paths through four suppliers' positions each, sampled every half radius."""
     sup = ad.table(s, d, "supplier").selectExpr("CAST(s_suppkey DIV 4 AS BIGINT) AS path_id", "s_suppkey", "array(s_suppkey*0.5D, s_acctbal/2000D, (s_suppkey%7)*0.3D) AS p")

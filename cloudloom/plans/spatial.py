@@ -46,7 +46,14 @@ def _(s, d):
     return sp.knn(e, e, 5).select("point_id", "rank", "nn_id", R("distance").alias("distance"))
 
 
-@query("jn3_knn_dense_cloud")
+@query("jn3_knn_dense_cloud", f"""WITH p AS (SELECT point_id, x, y, z, floor(x/0.25) AS gx, floor(y/0.25) AS gy, floor(z/0.25) AS gz FROM li),
+o AS (SELECT i, j, k FROM (SELECT unnest([-1,0,1]) AS i), (SELECT unnest([-1,0,1]) AS j), (SELECT unnest([-1,0,1]) AS k)),
+s AS (SELECT p.*, gx+i AS hx, gy+j AS hy, gz+k AS hz FROM p, o),
+c AS (SELECT a.point_id, b.point_id AS nn_id, {_D2} AS d FROM s a JOIN p b ON b.gx=a.hx AND b.gy=a.hy AND b.gz=a.hz WHERE a.point_id<>b.point_id),
+n AS (SELECT point_id, min(d) AS d FROM c GROUP BY point_id), far AS (SELECT p.* FROM p LEFT JOIN n USING (point_id) WHERE d IS NULL OR d > 0.0625),
+f AS (SELECT a.point_id, b.point_id AS nn_id, {_D2} AS d FROM far a JOIN p b ON a.point_id<>b.point_id),
+u AS (SELECT c.* FROM c WHERE point_id NOT IN (SELECT point_id FROM far) UNION ALL SELECT * FROM f)
+SELECT point_id, arg_min(nn_id, (d, nn_id)) AS nn_id, round(sqrt(min(d)),6) AS distance FROM u GROUP BY point_id""", "li")
 def _(s, d):
     """Every line-item point's nearest other point; ties and coincident layers included."""
     p = ad.points(s, d)
