@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from ..operators import export as ex
 from ..operators import labels as lb
 from ..operators import quality as qa
 from ..operators.containment import points_in_prisms
+from ..session import shared_folder
+from ..sources import sinks
 from . import adapters as ad
 from .basics import BOX, BOX_SQL, R, _QUAD
 from .registry import query
@@ -255,6 +258,22 @@ def _(s, d):
     return out.select("instance_id", "n", R("sx", 4).alias("sx"), R("sy", 4).alias("sy"), R("ry", 4).alias("ry"))
 
 
+@query("lab16_save_pipeline", f"""WITH {_HIT} SELECT 'class' AS section, CAST(ca AS VARCHAR) AS key, CAST(count(*) AS DOUBLE) AS value FROM li GROUP BY 2 UNION ALL SELECT 'category', CAST(CASE ka WHEN 3 THEN 0 ELSE ka END AS VARCHAR), count(*) FROM li GROUP BY 2
+UNION ALL SELECT 'region', shape_id||'/'||CASE ka WHEN 3 THEN 0 ELSE ka END, count(*) FROM h GROUP BY 2 UNION ALL SELECT 'coverage','in_region_fraction', round((SELECT count(*) FROM h WHERE ca>=0)/CAST((SELECT count(*) FROM li WHERE ca>=0) AS DOUBLE),6) UNION ALL SELECT 'threshold','p90',0.01""", "li reg")
+def _(s, d):
+    """All rules run, the labels are saved, and the manifest of the saved version is read back."""
+    points, regions = ad.points(s, d), ad.regions(s, d)
+    labels = ad.labels(s, d).withColumn("category", F.when(F.col("category") == 3, 0).otherwise(F.col("category")))
+    classes = s.range(6).selectExpr("CAST(id AS INT) AS id", "false AS frozen")
+    graded = regions.selectExpr("'li' AS scan_id", "shape_id AS id", "'draft' AS status", "CAST(NULL AS DOUBLE) AS p90")
+    root = f"{shared_folder(s)}/save-{uuid.uuid4().hex}"
+    version, _ = sinks.save_pipeline(
+        points, labels, classes, root, prior=labels, version="20260101_000000", instances=ad.instances(s, d), meta=points.groupBy("scan_id").agg(F.count("*").alias("n_points")),
+        blobs=s.createDataFrame([], "scan_id string, instance_id int, n_points long"), regions=graded, region_points=points_in_prisms(points, regions), thresholds={"p90": 0.01},
+    )
+    return s.read.parquet(f"{root}/versions/{version}/manifest").withColumn("value", R("value"))
+
+
 @query("agg25_label_manifest", f"""WITH {_HIT} SELECT 'class' AS section, CAST(ca AS VARCHAR) AS key, CAST(count(*) AS DOUBLE) AS value FROM li GROUP BY 2 UNION ALL SELECT 'category', CAST(ka AS VARCHAR), count(*) FROM li GROUP BY 2
 UNION ALL SELECT 'region', shape_id||'/'||ka, count(*) FROM h GROUP BY 2 UNION ALL SELECT 'coverage','in_region_fraction', round((SELECT count(*) FROM h WHERE ca>=0)/CAST((SELECT count(*) FROM li WHERE ca>=0) AS DOUBLE),6) UNION ALL SELECT 'threshold','p90',0.01""", "li reg")
 def _(s, d):

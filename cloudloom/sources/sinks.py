@@ -152,24 +152,49 @@ def load_labels(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/versions/{version}/labels")
 
 
-def save_pipeline(points: DataFrame, labels: DataFrame, classes: DataFrame, root: str, link_radius: float = 0.05, prior: DataFrame | None = None, version: str | None = None):
-    """Strip, derive fragments, check, write; returns (version, one-row strip count)."""
+def save_pipeline(
+    points: DataFrame, labels: DataFrame, classes: DataFrame, root: str, link_radius: float = 0.05, prior: DataFrame | None = None, version: str | None = None,
+    instances: DataFrame | None = None, blobs: DataFrame | None = None, meta: DataFrame | None = None, regions: DataFrame | None = None,
+    region_points: DataFrame | None = None, thresholds: dict | None = None, stored: DataFrame | None = None,
+):
+    """Strip, derive fragments, check, write; returns (version, one-row strip count).
+
+    The label rules always run.  Row counts need ``meta``, instance rows need ``instances`` (and ``blobs``), the grade of
+    regions ``regions``, category and review rules ``region_points`` (scan_id, point_id, shape_id: what lies in which
+    region), lost ids ``prior``, and drift the manifest ``stored`` before; rules without their table are left out.  The
+    manifest counts every region of ``region_points``.
+    """
     from ..operators import quality as q
     from ..operators.cluster import components
     from ..operators.export import label_manifest
     from ..operators.labels import strip_unclassified
 
+    key = ["scan_id", "point_id"]
     out, stripped = strip_unclassified(labels)
-    comp = components(points, out, link_radius).select("scan_id", "point_id", "component_id")
-    out = cut(out.join(comp, ["scan_id", "point_id"]))
+    comp = components(points, out, link_radius).select(*key, "component_id")
+    out = cut(out.join(comp, key))
     checks = [
-        q.class_iff_instance(out), q.one_class_per_instance(out), q.classes_registered(out, classes),
-        q.category_exhaustive(out), q.no_frozen_class(out, classes), q.component_iff_instance(out),
+        q.class_iff_instance(out), q.one_class_per_instance(out), q.classes_registered(out, classes, meta if meta is not None and "class_map_version" in meta.columns else None),
+        q.no_frozen_class(out, classes), q.component_iff_instance(out),
     ]
+    if meta is not None:
+        checks.append(q.counts_match(points, out, meta))
+    if region_points is not None:
+        inside = out.join(region_points.select(*key).distinct(), key, "left_semi")
+        checks += [q.category_exhaustive(inside), q.review_budget(inside)]
+    if instances is not None:
+        checks.append(q.confirmed_clean(out, instances))
+        if blobs is not None:
+            checks.append(q.instance_docs(out, instances, blobs))
+    if regions is not None:
+        checks.append(q.regions_fine_enough(regions))
     if prior is not None:
         checks.append(q.ids_kept(prior.filter("instance_id >= 0"), out))
-    none = out.select("scan_id", "point_id", F.lit("").alias("shape_id")).limit(0)
-    manifest = label_manifest(out.select("scan_id", "point_id", "class_id", "category"), none, {})
+    held = region_points if region_points is not None else out.select(*key, F.lit("").alias("shape_id")).limit(0)
+    manifest = cut(label_manifest(out.select(*key, "class_id", "category"), held, thresholds or {}))
+    if stored is not None:
+        rows = F.array_sort(F.collect_list(F.struct("section", "key", "value")))
+        checks.append(q.manifest_drift(*(m.agg(F.to_json(rows).alias("manifest")).select(F.lit("").alias("scan_id"), "manifest") for m in (stored, manifest))))
     return save_labels(out, root, manifest, checks, version), stripped
 
 
