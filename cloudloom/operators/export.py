@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import chords, loa_band
 from ..functions.shapes import in_obb, in_prism, segment_d2
-from ..schema import LOA_REST, UNSET, seg_key
+from ..schema import LOA_REST, UNSET, seg_key, REVIEW
 from ..session import cut, small
 from .containment import points_in_boxes, points_in_prisms, points_in_tubes
 from .sampling import chunk_reservoir, random_sample
@@ -226,6 +226,32 @@ def raw_region_spacing(points: DataFrame, prism: dict) -> DataFrame:
     return sample_spacing(inside).withColumn("n_points", F.lit(inside.count()))
 
 
+def measure_regions(regions: DataFrame, raw: DataFrame | None, scan: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, status, raw_available, n_points, p50, p90, n_review, n_session) of every region, as ``region_gate`` takes it.
+
+    Raw points count and are measured per region, against the other raw points of that region; review points are counted
+    among the labelled scan points inside.  Empty regions measure zeros; a point in two regions belongs to both.
+    """
+    from .containment import points_in_prisms
+
+    own = regions.select(F.col("shape_id").alias("id"), "status")
+    if raw is None:
+        spacing = own.select("id").limit(0).select("id", F.lit(0).cast("bigint").alias("n_points"), F.lit(0.0).alias("p50"), F.lit(0.0).alias("p90"))
+    else:
+        held = points_in_prisms(raw, regions).join(raw.select(*KEY, "x", "y", "z"), KEY)
+        held = cut(held.select(F.concat_ws("/", "scan_id", "shape_id").alias("scan_id"), "point_id", "x", "y", "z", F.col("shape_id").alias("id")))
+        near = knn(held.drop("id"), held.drop("id"), 1).select(*KEY, "distance")
+        spacing = held.select(*KEY, "id").join(near, KEY, "left").groupBy("id").agg(
+            F.count("*").alias("n_points"), F.percentile("distance", F.array(F.lit(0.5), F.lit(0.9))).alias("p")
+        ).select("id", "n_points", F.coalesce(F.col("p")[0], F.lit(0.0)).alias("p50"), F.coalesce(F.col("p")[1], F.lit(0.0)).alias("p90"))
+    inside = points_in_prisms(scan, regions).join(labels.select(*KEY, "category"), KEY)
+    marks = inside.groupBy(F.col("shape_id").alias("id")).agg(F.count_if(F.col("category") == REVIEW).alias("n_review"), F.count("*").alias("n_session"))
+    zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    return own.join(small(spacing), "id", "left").join(small(marks), "id", "left").select(
+        "id", "status", F.lit(raw is not None).alias("raw_available"), zero("n_points", 0), zero("p50", 0.0), zero("p90", 0.0), zero("n_review", 0), zero("n_session", 0)
+    )
+
+
 def materialize(resolution: dict, scan: DataFrame, labels: DataFrame, raw: DataFrame | None = None, replay: dict | None = None) -> DataFrame:
     """Points with labels at scan density, a seeded subsample, or replayed raw density."""
     kind = resolution["kind"]

@@ -13,6 +13,7 @@ from ..operators import export as ex
 from ..operators import labels as lb
 from ..operators import quality as qa
 from ..operators.containment import points_in_prisms
+from ..schema import GATE_MAX_P90, GATE_MAX_REVIEW, GATE_MIN_P50, GATE_MIN_POINTS
 from ..session import shared_folder
 from ..sources import sinks
 from . import adapters as ad
@@ -671,6 +672,19 @@ def _(s, d):
     return qa.region_gate(m).select("id", "reason")
 
 
+@query("val14_region_gate_measured", f"""WITH {_HIT}, n AS (SELECT a.shape_id, a.point_id, sqrt(min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) AS dd
+ FROM h a JOIN h b ON a.shape_id=b.shape_id AND a.point_id<>b.point_id GROUP BY 1,2), m AS (SELECT shape_id, quantile_cont(dd,0.5) AS p50, quantile_cont(dd,0.9) AS p90 FROM n GROUP BY 1),
+ c AS (SELECT shape_id, count(*) AS n, count(*) FILTER (ka=3) AS v FROM h GROUP BY 1),
+ g AS (SELECT r.shape_id AS id, coalesce(n,0) AS n_points, coalesce(p50,0) AS p50, coalesce(p90,0) AS p90, coalesce(v,0) AS n_review FROM reg r LEFT JOIN c ON r.shape_id=c.shape_id LEFT JOIN m ON r.shape_id=m.shape_id)
+SELECT id, n_points, round(p50,6) AS p50, round(p90,6) AS p90, n_review, CASE WHEN n_points<{GATE_MIN_POINTS} THEN 'too few raw points' WHEN p50<={GATE_MIN_P50} THEN 'coincident points'
+ WHEN p90>{GATE_MAX_P90} THEN 'spacing too coarse' WHEN n_review>{GATE_MAX_REVIEW}*greatest(n_points,1) THEN 'review share over budget' END AS reason FROM g""", "li reg")
+def _(s, d):
+    """The cloud is its own raw source: every region is measured and gated."""
+    regions, points = ad.regions(s, d).withColumn("status", F.lit("draft")), ad.points(s, d)
+    out = qa.region_gate(ex.measure_regions(regions, points, points, ad.labels(s, d)))
+    return out.select("id", "n_points", R("p50").alias("p50"), R("p90").alias("p90"), "n_review", "reason")
+
+
 @query("val15_valid_prisms", "SELECT CAST(n_nationkey AS VARCHAR) AS key FROM nation WHERE n_nationkey%4=0 OR n_nationkey%5=0")
 def _(s, d):
     reg = ad.regions(s, d).selectExpr("'s' AS scan_id", "CAST(shape_id AS STRING) AS id", "CASE WHEN shape_id%4=0 THEN slice(polygon,1,2) ELSE polygon END AS polygon", "CASE WHEN shape_id%5=0 THEN 0D ELSE height END AS height")
