@@ -9,7 +9,7 @@ from ..functions.shapes import in_shape
 from ..operators.aggregates import segment_summary
 from ..operators.labels import reassign
 from . import adapters as ad
-from . import basics, labelling, spatial  # noqa: F401
+from . import basics, files, labelling, spatial  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 

@@ -16,31 +16,22 @@ from ..session import cut, small
 KEEP = 10
 
 
-def write_ply(df: DataFrame, path: str, extra: tuple[tuple[str, str], ...] = ()) -> int:
-    """One binary PLY in point_id order; returns the vertex count.
+def write_records(df: DataFrame, path: str, dtype: np.dtype, head) -> int:
+    """One binary file of ``head(count)`` and a record per row in point_id order; returns the count.
 
-    Records have a fixed width, so each task writes its own rows at their final
-    byte offset on the shared file system.  A retried task writes the same bytes
-    again; nothing passes through the driver but the header.
+    ``dtype`` names columns of ``df``; a null integer is 0.  Records have a fixed width, so each task writes its own rows
+    at their final byte offset on the shared file system.  A retried task writes the same bytes again; nothing passes
+    through the driver but the header.
     """
-    has_rgb = {"r", "g", "b"} <= set(df.columns)
-    fields = [("x", "<f4"), ("y", "<f4"), ("z", "<f4")]
-    fields += [("r", "u1"), ("g", "u1"), ("b", "u1")] if has_rgb else []
-    fields += [(n, {"int": "<i4", "float": "<f4", "uchar": "u1"}[t]) for n, t in extra]
-    dtype = np.dtype(fields)
-    order = ["scan_id", "point_id"]
+    order, names = ["scan_id", "point_id"], list(dtype.names)
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = cut(rows.select(*[n for n, _ in fields], F.monotonically_increasing_id().alias("_m")))
+    rows = cut(rows.select(*names, F.monotonically_increasing_id().alias("_m")))
     rows = rows.withColumns({"_part": F.shiftright("_m", 33), "_off": F.col("_m").bitwiseAND(F.lit(2**33 - 1))})
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("_part", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     total = base.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    names = {"r": "red", "g": "green", "b": "blue"}
-    kinds = {"<f4": "float", "u1": "uchar", "<i4": "int"}
-    head = ["ply", "format binary_little_endian 1.0", f"element vertex {total}"]
-    head += [f"property {kinds[t]} {names.get(n, n)}" for n, t in fields] + ["end_header", ""]
-    head = "\n".join(head).encode("ascii")
+    head = head(total)
     with open(path, "wb") as f:
         f.write(head)
         f.truncate(len(head) + total * dtype.itemsize)
@@ -50,8 +41,8 @@ def write_ply(df: DataFrame, path: str, extra: tuple[tuple[str, str], ...] = ())
         try:
             for b in batches:
                 at = b.column("_g").to_numpy()
-                rec = np.empty(len(at), dtype=dtype)
-                for n, _ in fields:
+                rec = np.zeros(len(at), dtype=dtype)
+                for n in names:
                     rec[n] = b.column(n).to_numpy(zero_copy_only=False)
                 by = np.argsort(at, kind="stable")
                 at, rec = at[by], rec[by]
@@ -63,13 +54,28 @@ def write_ply(df: DataFrame, path: str, extra: tuple[tuple[str, str], ...] = ())
         return iter(())
 
     seated = rows.join(small(base.drop("_n")), "_part").withColumn("_g", F.col("_base") + F.col("_off"))
-    cols = [F.col("_g")] + [
-        (F.coalesce(F.col(n), F.lit(0)) if t != "<f4" else F.col(n)).cast("float" if t == "<f4" else "int").alias(n) for n, t in fields
-    ]
-    seated.select(*cols).mapInArrow(emit, "_g bigint").write.format("noop").mode("overwrite").save()
+    exact = {n: F.col(n).cast("float") if dtype[n].kind == "f" else F.coalesce(F.col(n), F.lit(0)).cast("int") for n in names}
+    seated.select("_g", *[c.alias(n) for n, c in exact.items()]).mapInArrow(emit, "_g bigint").write.format("noop").mode("overwrite").save()
     return total
 
 
+def write_ply(df: DataFrame, path: str, extra: tuple[tuple[str, str], ...] = ()) -> int:
+    """One binary PLY in point_id order; returns the vertex count."""
+    has_rgb = {"r", "g", "b"} <= set(df.columns)
+    fields = [("x", "<f4"), ("y", "<f4"), ("z", "<f4")]
+    fields += [("r", "u1"), ("g", "u1"), ("b", "u1")] if has_rgb else []
+    fields += [(n, {"int": "<i4", "float": "<f4", "uchar": "u1"}[t]) for n, t in extra]
+    names = {"r": "red", "g": "green", "b": "blue"}
+    kinds = {"<f4": "float", "u1": "uchar", "<i4": "int"}
+
+    def head(total: int) -> bytes:
+        lines = ["ply", "format binary_little_endian 1.0", f"element vertex {total}"]
+        lines += [f"property {kinds[t]} {names.get(n, n)}" for n, t in fields] + ["end_header", ""]
+        return "\n".join(lines).encode("ascii")
+
+    return write_records(df, path, np.dtype(fields), head)
+
+
 def write_labeled_ply(points: DataFrame, labels: DataFrame, path: str) -> int:
     """xyz, rgb (zeros when absent), class_id and instance_id."""
     rgb = {c: F.coalesce(F.col(c), F.lit(0)) if c in points.columns else F.lit(0) for c in "rgb"}

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 SMALL = "/root/testdata/sf0.001"
 NAMES = [
     "fn17_label_to_class", "prd2_in_obb", "prd3_in_prism", "prd8_slice_export", "jn1_points_in_boxes", "jn1_points_in_prisms", "jn13_attribute_instances",
-    "agg9_compare_per_class", "agg12_region_stats", "agg25_label_manifest", "win3_merge_vote", "lab8_undo_redo", "exp3_filters_remap", "val14_region_gate", "cam2_visible",
+    "agg9_compare_per_class", "agg12_region_stats", "agg25_label_manifest", "win3_merge_vote", "lab8_undo_redo", "exp3_filters_remap", "val14_region_gate", "cam2_visible", "fn10_catmull_rom", "src3_las", "src6_instances", "src14_raw_source",
 ]
 
 
