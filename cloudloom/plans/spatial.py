@@ -266,18 +266,25 @@ def _(s, d):
 _VOL = """b AS (SELECT point_id, class_id AS own, x, y, z FROM emb), v AS (SELECT unnest([100,101,102]) AS vid), h AS (SELECT point_id, vid FROM b, v WHERE abs(x-(vid-101))<=0.6 AND abs(y)<=1.0 AND abs(z)<=1.0)"""
 
 
-@query("lab9_replay_small_volumes", f"""WITH {_VOL}, s AS (SELECT * FROM emb WHERE point_id%2=0), n AS (SELECT a.point_id, arg_min(b.class_id, {_D2}) AS base FROM emb a, s b GROUP BY 1),
+_REPLAY = f"""WITH {_VOL}, s AS (SELECT * FROM emb WHERE point_id%2=0), n AS (SELECT a.point_id, arg_min(b.class_id, {_D2}) AS base FROM emb a, s b GROUP BY 1),
 c AS (SELECT point_id, vid AS inst, CAST(CASE vid WHEN 101 THEN 50 ELSE 5 END AS DOUBLE) AS seq, vid AS place FROM h UNION ALL SELECT point_id, base, CASE WHEN base%3=0 THEN NULL ELSE base*8.0 END, 999 FROM n)
-SELECT point_id, CAST(inst AS INT) AS instance_id, CAST(inst%6 AS INT) AS class_id FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY coalesce(seq,-1e9) DESC, place) AS rn FROM c) WHERE rn=1""", "emb")
-def _(s, d):
+SELECT point_id, CAST(inst AS INT) AS instance_id, CAST(inst%6 AS INT) AS class_id FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY coalesce(seq,-1e9) DESC, place) AS rn FROM c) WHERE rn=1"""
+
+
+def _replay(s, d):
     e = ad.emb(s, d)
     scan = e.filter("point_id%2=0")
     vol = s.createDataFrame([(i, 100 + i, 50 if i == 1 else 5, i, float(i - 1), 0.0, 0.0, 1.2, 2.0, 2.0, 0.0, 0.0, 0.0) for i in range(3)],
                             "shape_id int, instance_id int, seq int, ord int, cx double, cy double, cz double, sx double, sy double, sz double, rx double, ry double, rz double")
     ids = e.select(F.col("class_id").alias("instance_id")).union(vol.select("instance_id")).distinct()
     seq = e.selectExpr("class_id AS instance_id", "CASE WHEN class_id%3=0 THEN NULL ELSE class_id*8 END AS seq").distinct().unionByName(vol.select("instance_id", "seq"))
-    out = ex.replay_labels(e, scan, _lab(s, d).filter("point_id%2=0"), vol, None, None, seq, ids.selectExpr("instance_id", "instance_id%6 AS class_id"))
-    return out.select("point_id", "instance_id", "class_id")
+    return scan, _lab(s, d).filter("point_id%2=0"), (vol, None, None, seq, ids.selectExpr("instance_id", "instance_id%6 AS class_id"))
+
+
+@query("lab9_replay_small_volumes", _REPLAY, "emb")
+def _(s, d):
+    scan, labels, rest = _replay(s, d)
+    return ex.replay_labels(ad.emb(s, d), scan, labels, *rest).select("point_id", "instance_id", "class_id")
 
 
 @query("lab10_collect_volumes", "SELECT p_partkey AS id, CASE WHEN p_partkey%3=0 THEN 'box' ELSE 'prism' END AS kind FROM part WHERE p_partkey%3<2")
@@ -486,3 +493,29 @@ def _(s, d):
     q = edit_stream(cmds, out, _scratch(s)).trigger(availableNow=True).start()
     q.awaitTermination()
     return s.read.schema("scan_id string, session_id string, edit_seq bigint, op string, target_seq bigint, active boolean, new_instance_id bigint").parquet(out)
+
+
+@query("str1_replay_stream", _REPLAY, "emb")
+def _(s, d):
+    """The dense cloud arrives as a stream; every chunk is labelled from the static scan."""
+    from ..streaming.jobs import replay_stream
+
+    scan, labels, rest = _replay(s, d)
+    raw = s.readStream.schema(ad.table(s, d, "embeddings").schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
+    raw = raw.selectExpr("'emb' AS scan_id", "vec_id AS point_id", *[f"CAST(embedding[{i}] AS DOUBLE)*10 AS {a}" for i, a in enumerate("xyz")])
+    out = _scratch(s)
+    names = ("boxes", "prisms", "tubes", "seq", "class_map")
+    replay_stream(raw, scan, labels, dict(zip(names, rest)), out, _scratch(s)).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(out).select("point_id", "instance_id", "class_id")
+
+
+@query("str3_autosave", "SELECT point_id, ca AS class_id FROM li", "li")
+def _(s, d):
+    """A manual save of a later date, then a burst of changes: the autosave is what is read back."""
+    from ..streaming.jobs import autosave
+
+    root, labels = _scratch(s), ad.labels(s, d)
+    sinks.save_labels(labels.withColumn("class_id", F.lit(-9)), root, version="20990101_000000")
+    src = s.readStream.schema(ad.table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    autosave(src, lambda: labels, root, _scratch(s)).trigger(availableNow=True).start().awaitTermination()
+    return sinks.load_labels(s, root).select("point_id", "class_id")
