@@ -174,10 +174,13 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         rows = rows.join(mark, F.col("doc_id").eqNullSafe(F.col("odd_id")) & (F.col("sha") == F.col("alt")), "left").drop("odd_id").fillna("", ["alt"])
     key = [*key, "alt"]
     ids = rows.groupBy(*key, "sha", "doc_id").agg(F.count(F.lit(1)).alias("c"))
-    groups = ids.groupBy(*key).agg(F.sum("c").alias("group_size"), F.min("doc_id").alias("keep_id"))
+    # Only the shared ones are looked up, as a written table: then the join may split a hot group.
+    groups = cut(ids.groupBy(*key).agg(F.sum("c").alias("size"), F.min("doc_id").alias("least")).filter("size > 1"))
+    alone = F.col("size").isNull()
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("least"))
     return (
-        ids.join(groups, key).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))))
-        .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"), "n_bytes")
+        ids.join(groups, key, "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))))
+        .select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).alias("group_size"), (F.col("doc_id").eqNullSafe(keep) & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"), "n_bytes")
     )
 
 
