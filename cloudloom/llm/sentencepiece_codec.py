@@ -32,10 +32,11 @@ UNKNOWN_PENALTY = 10.0
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 RADIX_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 PAIR_BITS = 22
+PAIR_MEMORY = 19
 #: Code points taken at once.
 BLOCK = 1 << 20
-#: Different stretches that a task remembers.
-MEMORY = 300_000
+#: Different stretches that a worker remembers.
+MEMORY = 200_000
 
 
 def _pair_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -59,6 +60,7 @@ class Vocabulary:
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
             raise ValueError("only models without text normalisation are supported")
         self.prefix = spec.add_dummy_prefix
+        self.pairs_seen = self.pairs_ok = None
         self.kind = model.trainer_spec.model_type
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are supported")
@@ -129,7 +131,20 @@ class Vocabulary:
         self.pair_keys, self.pair_ids = keys, np.array([pairs[k] for k in keys.tolist()], np.int64)
 
     def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether piece ``b`` may stand after piece ``a``: undoing both, no pair at the border merges too early."""
+        """Whether piece ``b`` may stand after piece ``a``; answers are remembered in a table of fixed size."""
+        if self.pairs_seen is None:
+            self.pairs_seen, self.pairs_ok = np.full(1 << PAIR_MEMORY, -1, np.int64), np.zeros(1 << PAIR_MEMORY, bool)
+        key = (a + 1) << 32 | b
+        slot = (key.astype(np.uint64) * RADIX >> np.uint64(64 - PAIR_MEMORY)).astype(np.int64)
+        new = np.flatnonzero(self.pairs_seen[slot] != key)
+        ok = self.pairs_ok[slot]
+        if len(new):
+            ok[new] = self._follows(a[new], b[new])
+            self.pairs_seen[slot[new]], self.pairs_ok[slot[new]] = key[new], ok[new]
+        return ok
+
+    def _follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Undoing both pieces, no pair at the border merges too early."""
         never = np.int64(1 << 40)
         ok = np.ones(len(a), bool)
         live = np.flatnonzero((a >= 0) & (b >= 0))
@@ -159,19 +174,25 @@ class Vocabulary:
         best[:, 0] = 0
         last = np.full((n, length + 1), -1, np.int64)
         back = np.zeros((n, length + 1), np.int64)
-        rows = np.arange(n)
         for end in range(1, length + 1):
+            todo = np.arange(n)
             for start in range(max(0, end - self.longest), end):
-                found = self.probe(substring_keys(sums, start, end))
                 lone = end - start == 1
                 if self.kind == BPE:
-                    at = np.flatnonzero((found >= 0) & self.made[found] & (best[:, start] == 0) & (best[:, end] != 0))
-                    at = at[self.follows(last[at, start], found[at])]
-                    best[at, end], last[at, end], back[at, end] = 0, found[at], start
+                    # One piece at most can end a row's prefix, so rows that have found theirs are left out.
+                    found = self.probe(substring_keys(sums[todo], start, end))
+                    hit = (found >= 0) & self.made[found]
+                    hit[hit] = self.follows(last[todo[hit], start], found[hit])
+                    at = todo[hit]
+                    best[at, end], last[at, end], back[at, end] = 0, found[hit], start
+                    todo = todo[~hit]
                     if lone:
-                        odd = rows[(found < 0) & (best[:, start] == 0)]
+                        odd = todo[found[~hit] < 0]
                         best[odd, end], last[odd, end], back[odd, end] = 0, -1, start
+                    if not len(todo):
+                        break
                 else:
+                    found = self.probe(substring_keys(sums, start, end))
                     gain = np.where(found >= 0, self.score[found], np.float32(self.lowest - UNKNOWN_PENALTY) if lone else -np.inf).astype(np.float32)
                     total = best[:, start] + gain
                     at = np.flatnonzero(total > best[:, end])
@@ -237,7 +258,7 @@ def substring_keys(sums: np.ndarray, start: int, end: int) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts with a vocabulary; remembers the stretches it has seen."""
+    """Encodes texts with a vocabulary; remembers the stretches it has seen, also from task to task of a worker."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -316,6 +337,11 @@ class Encoder:
                     self.seen[names[k]] = ids
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(vocabulary: Vocabulary) -> Encoder:
+    return Encoder(vocabulary)
+
+
 def _arrow_ids(ids: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int32)))
@@ -335,7 +361,7 @@ def encode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
 
     def run(batches):
-        encoder = Encoder(vocabulary.value)
+        encoder = encoder_of(vocabulary.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
