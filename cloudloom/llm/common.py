@@ -37,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -3,13 +3,15 @@
 A document is the set of its word shingles.  Two sets of sizes a and b with Jaccard J >= num/den differ in at most
 (a + b)(den - num)/(den + num) elements.  Sizes are cut into bands such that linked sets lie in one band or in
 neighbouring ones; a set signs for its own band and the next.  In a band with at most k differences the domain is cut
-into ceil((k + 1)/2) first-level parts of three second-level parts: some first-level part holds at most one difference,
-so two of its three second-level parts are equal, and the hash of one of the enumerated pairs of parts is shared.
+into first-level parts of two second-level parts each, and of each first-level part the subsets that leave out one
+second-level part are hashed with what the set has there.  With k + 1 + e second-level parts, at least e + 1 of these
+signatures are shared.  So a set with at most e empty parts need not sign for them: not all shared ones can be empty.
 
 Equal sets are one node.  A bucket of equal signatures is never expanded into all pairs: each node is compared with the
-first one of its bucket, and what is then connected needs no further comparison.  Only nodes of one bucket that are still
-in different components are compared: directly in buckets up to ``SMALL`` nodes; in larger ones by an exact prefix
-filter (linked sets share one of the rarest tenth of their elements).
+first one of its bucket, then with the one that has most links, and what is connected needs no further comparison.  Only
+nodes of one bucket that are still in different components are compared: directly in buckets up to ``SMALL`` nodes; in
+larger ones by an exact prefix and position filter (linked sets share one of their rarest elements, and neither has more
+unmatched elements before it than the similarity allows).
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ from ..operators.graph import connected_components
 from ..session import cut, small
 from .common import NARROW_ROWS, WordHashes, mix
 
+#: Spare second-level parts are one in so many, and one more.
+SPARE = 8
 #: Nodes of a bucket up to which its unconnected nodes are compared directly.
 SMALL = 32
 #: Set digests that a task remembers so that copies sign once.
-SEEN = 500_000
+SEEN = 200_000
+#: Bins of a set's sketch.
+BINS = 128
 
 
 def shingles(text: str | None, size: int, words: WordHashes) -> np.ndarray:
@@ -40,8 +46,8 @@ def shingles(text: str | None, size: int, words: WordHashes) -> np.ndarray:
     width = min(size, len(h))
     out = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i:len(h) - width + 1 + i])
-    return np.unique(out)
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i:len(h) - width + 1 + i]
+    return np.unique(mix(out))
 
 
 def set_id(values: np.ndarray) -> int:
@@ -49,19 +55,26 @@ def set_id(values: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """Elements per bin, at most 255 each: two sets differ in at least as many elements as their sketches do."""
+    return np.minimum(np.bincount((values >> np.uint64(12)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 class Bands:
-    """Size bands and, per band, the number of first-level parts (0: the whole set signs)."""
+    """Size bands; per band the number of second-level parts (0: the whole set signs) and how many of them are spare."""
 
     def __init__(self, num: int, den: int, top: int = 1 << 34):
-        low, self.low, self.parts = 1, [], []
+        low, self.low, self.parts, self.spare = 1, [], [], []
         while low < top:
             high = low * den // num
             k = 2 * high * (den - num) // (den + num)
+            parts = 2 * ((k + 2 + k // SPARE + 2) // 2) if k else 0
             self.low.append(low)
-            self.parts.append((k + 2) // 2 if k else 0)
+            self.parts.append(parts)
+            self.spare.append(parts - k - 1)
             low = high + 1
         self.low = np.array(self.low)
-        self.parts = np.array(self.parts)
+        self.tags = mix(np.arange(len(self.low), dtype=np.uint64))
 
     def of(self, size: int) -> int:
         return int(np.searchsorted(self.low, size, side="right")) - 1
@@ -72,19 +85,19 @@ def signatures(values: np.ndarray, bands: Bands) -> np.ndarray:
     if not len(values):
         return np.empty(0, np.uint64)
     own, out = bands.of(len(values)), []
-    weight, deal = mix(values ^ np.uint64(0x5851F42D4C957F2D)), values >> np.uint64(20)
+    weight, deal = mix(values ^ np.uint64(0x5851F42D4C957F2D)), (values >> np.uint64(32)).astype(np.int64)
     for band in (own, own + 1):
-        parts = int(bands.parts[band])
-        tag = np.uint64(band + 1) * np.uint64(0xD1342543DE82EF95)
+        parts = bands.parts[band]
         if not parts:
-            out.append(mix(weight.sum(keepdims=True, dtype=np.uint64) + tag))
+            out.append(mix(weight.sum(keepdims=True, dtype=np.uint64) + bands.tags[band:band + 1]))
             continue
-        sums = np.zeros(3 * parts, np.uint64)
-        np.add.at(sums, (deal % np.uint64(3 * parts)).astype(np.int64), weight)
-        sums = mix(sums.reshape(parts, 3))
-        place = np.arange(parts, dtype=np.uint64) * np.uint64(8)
-        for n, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-            out.append(mix(sums[:, i] * np.uint64(3) + sums[:, j] * np.uint64(5) + tag + place + np.uint64(n)))
+        place = deal % parts
+        sums = np.zeros(parts, np.uint64)
+        np.add.at(sums, place, weight)
+        # Second-level parts 2i and 2i + 1 make up the first-level part i; leaving out one leaves the other.
+        sums = mix(mix(sums) + np.arange(parts, dtype=np.uint64) + bands.tags[band:band + 1])
+        held = np.bincount(place, minlength=parts) > 0
+        out.append(sums[held] if parts - held.sum() <= bands.spare[band] else sums)
     return np.concatenate(out)
 
 
@@ -93,7 +106,7 @@ def _nodes(size):
         words = WordHashes()
         for batch in batches:
             sets = [shingles(t, size, words) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "node"])
+            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array(map(sketch, sets), pa.binary())], names=["doc_id", "n", "node", "sketch"])
 
     return run
 
@@ -154,14 +167,28 @@ def _stars(batches):
         yield pa.record_batch([pa.array(k[hit]), pa.array(lead[hit]), pa.array(d[hit])], names=["key", "a", "b"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity; exact, in the JVM."""
+def _possible(num, den):
+    """Of (a, b, na, nb, sa, sb): the pairs (a, b) that their sizes and sketches do not rule out."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in batch.columns[4:])
+            apart = np.abs(x - y).sum(axis=1)
+            ok = (apart * (num + den) <= (na + nb) * (den - num)) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    return run
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity; whole sets travel only for pairs that may reach it."""
+    one = lambda to: nodes.select(F.col("node").alias(to), F.col("n").alias("n" + to), F.col("sketch").alias("s" + to))
+    pairs = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(num, den), "a long, b long")
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    same = F.size(F.array_intersect("x", "y"))
-    near = F.least(F.size("x"), F.size("y")) * den >= F.greatest(F.size("x"), F.size("y")) * num
     return (
-        pairs.join(left, "a").join(right, "b").filter(near).withColumn("i", same)
+        pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
         .filter(F.col("i") * den >= (F.size("x") + F.size("y") - F.col("i")) * num).select("a", "b")
     )
 
@@ -181,23 +208,29 @@ def _pairs(members: DataFrame) -> DataFrame:
     return two.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """The same for keys of any size: blocks of nodes meet blocks, so that no task holds a key."""
+def _blocks(members: DataFrame, num: int, den: int) -> DataFrame:
+    """The same for keys of any size: blocks of nodes meet blocks, so that no task holds a key.
+
+    Members carry their size s and the position at of the key: of the pair's first common element, at most size minus
+    the needed overlap elements can come before.
+    """
     cuts = F.ceil(F.col("n") / (8 * SMALL)).cast("int")
     left = members.withColumn("i", F.pmod(F.xxhash64("node"), cuts).cast("int"))
     every = F.explode(F.sequence(F.lit(0), cuts - 1))
-    a = left.select("key", "i", F.col("node").alias("a"), F.col("component").alias("ca"), every.alias("j"))
-    b = left.select("key", F.col("i").alias("j"), F.col("node").alias("b"), F.col("component").alias("cb"), every.alias("i"))
-    return a.join(b, ["key", "i", "j"]).filter("a < b AND ca <> cb").select("a", "b")
+    a = left.select("key", "i", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("s").alias("sa"), F.col("at").alias("ta"), every.alias("j"))
+    b = left.select("key", F.col("i").alias("j"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("s").alias("sb"), F.col("at").alias("tb"), every.alias("i"))
+    overlap = (F.col("sa") + F.col("sb")) * num
+    fits = ((F.col("sa") - F.col("ta")) * (num + den) >= overlap) & ((F.col("sb") - F.col("tb")) * (num + den) >= overlap)
+    return a.join(b, ["key", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b")
 
 
 def _prefixes(nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, node): the rarest elements of each set, of which linked sets share at least one."""
+    """(key, node, s, at): the rarest elements of each set, of which linked sets share at least one, with their positions."""
     rows = sets.join(nodes, "node", "left_semi").select("node", F.size("elements").alias("s"), F.explode("elements").alias("key"))
     often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
     packed = rows.join(often, "key").groupBy("node", "s").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("e"))
     keep = F.col("s") - F.ceil(F.col("s") * num / den).cast("int") + 1
-    return packed.select("node", F.explode(F.slice("e", 1, keep)).alias("e")).select(F.col("e.key").alias("key"), "node")
+    return packed.select("node", "s", F.posexplode(F.slice("e", 1, keep)).alias("at", "e")).filter("e.f > 1").select(F.col("e.key").alias("key"), "node", "s", "at")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -209,7 +242,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     Sets are identified by 64-bit digests of 64-bit shingle hashes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    nodes = cut(docs.mapInArrow(_nodes(size), "doc_id long, n long, node long"))
+    nodes = cut(docs.mapInArrow(_nodes(size), "doc_id long, n long, node long, sketch binary"))
     signed = docs.mapInArrow(_signed(size, num, den), "sig long, node long")
     stars = cut(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "key long, a long, b long"))
     links = _all_links(docs, nodes, stars, size, num, den)
@@ -221,26 +254,37 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
 
 
 def _all_links(docs: DataFrame, nodes: DataFrame, stars: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    met = cut(stars.select(F.col("a").alias("node")).unionAll(stars.select("b")).distinct())
-    chosen = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id")).join(met, "node").select("id")
+    met = stars.select(F.col("a").alias("node")).unionAll(stars.select("b")).distinct()
+    seen = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    met = cut(met.join(seen, "node"))
+    chosen = met.select("id")
     sets = cut(
         docs.join(small(cut(chosen.distinct()), NARROW_ROWS), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-        .mapInArrow(_sets(size), "node long, elements array<long>").join(met, "node", "left_semi").dropDuplicates(["node"])
+        .mapInArrow(_sets(size), "node long, elements array<long>").join(met.select("node"), "node", "left_semi").dropDuplicates(["node"])
     )
-    first = cut(stars.select("a", "b").distinct())
-    links = cut(_links(first, sets, num, den))
+    tried = cut(stars.select("a", "b").distinct())
+    links = cut(_links(tried, met, sets, num, den))
     many = stars.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a")).filter("n > 1")
-    if many.isEmpty():
-        return links
     wide = many.select("key", F.col("a").alias("node")).unionAll(stars.join(many.select("key"), "key", "left_semi").select("key", F.col("b").alias("node")))
     rest = cut(_across(wide, connected_components(links)))
+    if rest.isEmpty():
+        return links
+    # In large mixed buckets, the node with most links so far is compared with what it is not connected to.
+    large = rest.filter(F.col("n") > SMALL)
+    if not large.isEmpty():
+        degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
+        hubs = large.join(degree, "node", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("deg", F.lit(0)), "node", "component")).alias("h"))
+        spokes = large.join(hubs.select("key", F.col("h.node").alias("hub"), F.col("h.component").alias("of")), "key").filter("component <> of")
+        more = spokes.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        tried, links = cut(tried.unionAll(more)), cut(links.unionAll(_links(more, met, sets, num, den)))
+        rest = cut(_across(rest.select("key", "node"), connected_components(links)))
     fresh = _pairs(rest.filter(F.col("n") <= SMALL))
     hot = cut(rest.filter(F.col("n") > SMALL).select("node", "component").distinct())
     if not hot.isEmpty():
         keyed = cut(_across(_prefixes(hot.select("node"), sets, num, den), hot))
-        fresh = fresh.unionAll(_pairs(keyed.filter(F.col("n") <= SMALL))).unionAll(_blocks(keyed.filter(F.col("n") > SMALL)))
-    fresh = fresh.distinct().join(first, ["a", "b"], "left_anti")
-    return cut(links.unionAll(_links(fresh, sets, num, den)))
+        fresh = fresh.unionAll(_blocks(keyed, num, den))
+    fresh = fresh.distinct().join(tried, ["a", "b"], "left_anti")
+    return cut(links.unionAll(_links(fresh, met, sets, num, den)))
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
