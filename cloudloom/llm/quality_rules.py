@@ -2,7 +2,8 @@
 
 Base rules look at one text.  The method then hashes normalised lines, counts in how many distinct documents of a host
 (the ``source``) each line occurs, removes lines above the limits and rejects documents of which too little is left.
-Texts never take part in a shuffle: rows are rejoined by a 128-bit key.
+Rows are rejoined by a 128-bit key, so the counts never shuffle texts; ``clean_good`` does where its marks are too many
+to be broadcast.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def base_rules(docs: DataFrame, min_words: int, max_repeat: int) -> DataFrame:
 
 
 def removed_words(docs: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """(k1, k2, n_removed): words in lines that more documents of the host have than allowed."""
+    """(k1, k2, n_removed, at): words in lines that more documents of the host have than allowed, and places of these lines."""
     line = F.lower(F.btrim(F.regexp_replace(F.regexp_replace("line", SPACE, " "), "[0-9]", "0"), F.lit(BLANK)))
     lines = (
         docs.select("k1", "k2", "host", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -83,7 +84,7 @@ def removed_words(docs: DataFrame, min_docs: int, max_share: float) -> DataFrame
     often = lines.select("host", "hash", "body").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > min_docs)
     over = cut(often.join(hosts, "host").filter(F.col("n_docs") > max_share * F.col("all_docs")).select("host", "hash"))
     found = lines.join(small(over, LINES), ["host", "hash"]).groupBy("k1", "k2", "pos").agg(F.first("w").alias("w"))
-    return found.groupBy("k1", "k2").agg(F.sum("w").alias("n_removed"))
+    return found.groupBy("k1", "k2").agg(F.sum("w").alias("n_removed"), F.sort_array(F.collect_list("pos")).alias("at"))
 
 
 def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, min_docs: int = 20, max_share: float = 0.2, min_left: float = 0.5) -> DataFrame:
@@ -95,7 +96,7 @@ def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, mi
     A null text has no words and fails; documents with a null source are one host; a null doc_id is returned as null;
     repeated rows get one verdict and are all returned; other columns are not read; an empty table gives no rows.
     """
-    return judged(docs, min_words, max_repeat, min_docs, max_share, min_left).drop("k1", "k2")
+    return judged(docs, min_words, max_repeat, min_docs, max_share, min_left).drop("k1", "k2", "at")
 
 
 def judged(docs, min_words=10, max_repeat=20, min_docs=20, max_share=0.2, min_left=0.5) -> DataFrame:
@@ -104,7 +105,7 @@ def judged(docs, min_words=10, max_repeat=20, min_docs=20, max_share=0.2, min_le
     got = got.withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_removed")
     kept = ~F.col("base_failed") & (left >= min_words) & (left >= min_left * F.col("n_words"))
-    return got.select("k1", "k2", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_removed")
+    return got.select("k1", "k2", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_removed", "at")
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
@@ -113,3 +114,28 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
     k1, k2 = _row_key()
     marked = docs.select("*", k1.alias("_k1"), k2.alias("_k2"))
     return marked.join(small(bad, NARROW_ROWS // 2), (F.col("_k1") == F.col("_b1")) & (F.col("_k2") == F.col("_b2")), "left_anti").select(*docs.columns)
+
+
+def clean_good(docs: DataFrame, **limits) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, without the lines above the limits; all columns stay.
+
+    A removed line goes with its line break; other lines stay byte for byte.  A column n_chars, where there is one,
+    follows a text that lost lines.
+    """
+    marks = judged(docs, **limits).filter("NOT kept OR at IS NOT NULL").select(F.col("k1").alias("_m1"), F.col("k2").alias("_m2"), F.col("kept").alias("_kept"), F.col("at").alias("_at"))
+    marks = cut(marks.distinct())
+    # Keys and places as bytes: what may be broadcast is bounded by both.
+    if (marks.agg(F.sum(24 + 4 * F.size(F.coalesce("_at", F.array().cast("array<int>"))))).first()[0] or 0) <= 16 * NARROW_ROWS:
+        marks = F.broadcast(marks)
+    k1, k2 = _row_key()
+    rows = docs.select("*", k1.alias("_k1"), k2.alias("_k2")).join(marks, (F.col("_k1") == F.col("_m1")) & (F.col("_k2") == F.col("_m2")), "left")
+    rows = rows.filter(F.coalesce("_kept", F.lit(True)))
+    # The kept stretches: from after each removed line to the next.
+    starts = F.concat(F.array(F.lit(0)), F.transform("_at", lambda x: x + 1))
+    stretches = lambda z: F.flatten(F.zip_with(starts, F.concat("_at", F.array(F.size(z))), lambda a, b: F.slice(z, a + 1, b - a)))
+    rest = F.transform(F.array(F.split("text", "\n")), lambda z: F.array_join(stretches(z), "\n"))[0]  # splits once
+    lost = F.col("_at").isNotNull()
+    rows = rows.withColumn("text", F.when(lost, rest).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(lost, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
