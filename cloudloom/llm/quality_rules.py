@@ -116,13 +116,14 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
     return marked.join(small(bad, NARROW_ROWS // 2), (F.col("_k1") == F.col("_b1")) & (F.col("_k2") == F.col("_b2")), "left_anti").select(*docs.columns)
 
 
-def clean_good(docs: DataFrame, **limits) -> DataFrame:
+def clean_good(docs: DataFrame, max_share: float = 0.0, **limits) -> DataFrame:
     """The rows of ``docs`` that the rules keep, without the lines above the limits; all columns stay.
 
+    Here ``min_docs`` documents are enough by default, whatever the host's size: a share would loosen as hosts grow.
     A removed line goes with its line break; other lines stay byte for byte.  A column n_chars, where there is one,
     follows a text that lost lines.
     """
-    marks = judged(docs, **limits).filter("NOT kept OR at IS NOT NULL").select(F.col("k1").alias("_m1"), F.col("k2").alias("_m2"), F.col("kept").alias("_kept"), F.col("at").alias("_at"))
+    marks = judged(docs, max_share=max_share, **limits).filter("NOT kept OR at IS NOT NULL").select(F.col("k1").alias("_m1"), F.col("k2").alias("_m2"), F.col("kept").alias("_kept"), F.col("at").alias("_at"))
     marks = cut(marks.distinct())
     # Keys and places as bytes: what may be broadcast is bounded by both.
     if (marks.agg(F.sum(24 + 4 * F.size(F.coalesce("_at", F.array().cast("array<int>"))))).first()[0] or 0) <= 16 * NARROW_ROWS:
