@@ -2,9 +2,10 @@
 
 The gear hash of a position depends on the 16 bytes up to it: h = (h << 2) + GEAR[byte].  A boundary stands where the
 hash is the least of a window of ``WINDOW`` positions, so boundaries are at most a window apart and depend on nothing
-outside two windows: an insertion shifts chunks but changes only those around it, and any passage of 16 + 2 * WINDOW
-bytes holds a whole chunk wherever it stands.  Chunks are counted by their 128-bit digest; the first place of a digest
-(least doc_id, then position) owns it.
+outside two windows: an insertion shifts chunks but changes only those around it, and a passage of n bytes holds whole
+chunks of n - 2 * WINDOW - 14 bytes together wherever it stands (up to three bytes less where a boundary would fall inside
+a UTF-8 character).  So every passage of LEAST_RUN + 2 * WINDOW + 17 = 225 bytes is found.  Chunks are counted by their
+128-bit digest; the first place of a digest (least doc_id, then position) owns it.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .common import mix
 
-WINDOW = 128
-#: Bytes that runs of repeated chunks need; shorter ones are chance.
+WINDOW = 64
+#: Bytes that runs of repeated chunks need, whoever owns them; shorter ones are chance.
 LEAST_RUN = 80
 GEAR = (mix(np.arange(256, dtype=np.uint64) + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.uint32)
 #: Bytes of a text hashed at once; the next part starts with the last boundary before.
@@ -37,12 +38,13 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def _minima(data: np.ndarray) -> np.ndarray:
-    """Positions that are the least (the last of equals) in some window of hashes."""
+def _minima(data: np.ndarray, lead: int = 0) -> np.ndarray:
+    """Positions that are the least (the last of equals) in some window of hashes; the first ``lead`` ones are in no window."""
     n = len(data)
-    if n < WINDOW:
+    if n - lead < WINDOW:
         return np.empty(0, np.int64)
     least = (gear(data).astype(np.uint64) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - np.arange(n, dtype=np.uint64))
+    least = least[lead:]
     width = 1
     while width < WINDOW:
         step = min(width, WINDOW - width)
@@ -55,9 +57,9 @@ def _minima(data: np.ndarray) -> np.ndarray:
 def boundaries(raw: bytes) -> np.ndarray:
     """Chunk ends of a text in order, its length last; never inside a UTF-8 character."""
     data = np.frombuffer(raw, np.uint8)
-    # Parts overlap by more than a window and the hash's bytes, so that each window is seen whole once.
+    # Parts overlap by a window and the hash's bytes, so that each window is seen whole; hashes that lack bytes are in none.
     lap = WINDOW + 16
-    found = [_minima(data[max(0, lo - lap):lo + PART]) + max(0, lo - lap) for lo in range(0, max(1, len(data)), PART)]
+    found = [_minima(data[max(0, lo - lap):lo + PART], 15 if lo else 0) + max(0, lo - lap) for lo in range(0, max(1, len(data)), PART)]
     if len(found) > 1:
         found = [f[f >= lo - WINDOW + 1] if lo else f for f, lo in zip(found, range(0, len(data), PART))]
     ends = np.unique(np.concatenate(found)) + 1
@@ -101,10 +103,12 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, start, end, owned, owners): runs of neighbouring chunks that occur more than once, of LEAST_RUN bytes at least.
+    """(doc_id, k, start, end, owned, owners): parts of runs of neighbouring chunks that occur more than once, runs of LEAST_RUN bytes at least.
 
-    ``owned``: the run holds the first places of its chunks.  Otherwise it may be removed, and ``owners`` lists the
-    doc_ids of the first places.  Runs are cut where ownership changes.  A digest is counted by plain grouping, with
+    ``owned``: the part holds the first places of its chunks.  Otherwise it may be removed, and ``owners`` lists the
+    doc_ids of the first places.  Runs are measured whole and then cut where ownership changes.  In a later copy nothing
+    is owned, so parts of other owners that are under LEAST_RUN are chance inside a first copy, and count as owned there:
+    removing them would leave holes in the only copy that stays.  A digest is counted by plain grouping, with
     partial sums before the shuffle, and joined back to its places, so a chunk that many texts share can be split.
     """
     place = F.struct("doc_id", "k", "start")
@@ -112,11 +116,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     owners = cut(counted.filter("n > 1 AND first <> last").select("d1", "d2", "first"))
     found = chunks(docs).join(owners, ["d1", "d2"]).select("doc_id", "k", "start", "size", "first", place.eqNullSafe(F.col("first")).alias("owned")).distinct()
     order = Window.partitionBy("doc_id", "k").orderBy("start")
-    new = (F.lag(F.col("start") + F.col("size"), 1, -1).over(order) != F.col("start")) | (F.lag("owned").over(order) != F.col("owned"))
-    runs = found.withColumn("run", F.sum(new.cast("int")).over(order)).groupBy("doc_id", "k", "run").agg(
+    apart = F.lag(F.col("start") + F.col("size"), 1, -1).over(order) != F.col("start")
+    new = apart | (F.lag("owned").over(order) != F.col("owned"))
+    found = found.withColumn("whole", F.sum(apart.cast("int")).over(order)).withColumn("run", F.sum(new.cast("int")).over(order))
+    # Parts first: one row each, so a run's length is summed over few rows.
+    parts = found.groupBy("doc_id", "k", "whole", "run").agg(
         F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.first("owned").alias("owned"), F.array_sort(F.collect_set("first.doc_id")).alias("owners"), F.count(F.lit(1)).alias("n_chunks"),
     )
-    return runs.filter(F.col("end") - F.col("start") >= LEAST_RUN).drop("run")
+    size = F.col("end") - F.col("start")
+    parts = parts.withColumn("length", F.sum(size).over(Window.partitionBy("doc_id", "k", "whole"))).filter(F.col("length") >= LEAST_RUN)
+    return parts.withColumn("owned", F.col("owned") | (size < LEAST_RUN)).drop("whole", "run", "length")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
