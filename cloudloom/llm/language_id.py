@@ -22,8 +22,8 @@ BINS = 1 << 14
 TEXT_WEIGHT = 60
 #: Pseudo-rows of the level above in a host's or domain's prior, and in the tables of declared language and suffix.
 HOST_WEIGHT, TABLE_WEIGHT = 5.0, 1.0
-#: A language needs this share of the training rows.
-LEAST_SHARE = 0.005
+#: Bytes of the model's table on the driver and in each Python worker; more languages than fit are an error.
+MODEL_BYTES = 256 << 20
 
 
 def _bins(raw: bytes) -> np.ndarray:
@@ -43,32 +43,38 @@ class Model:
 
 
 def fit(training: DataFrame) -> Model:
-    """Trigram model from all rows (lang, text); counts are summed in Spark, and languages x bins numbers come back."""
+    """Trigram model from all rows (lang, text) of every labelled language, however few rows it has.
+
+    Counts are summed in Spark, and at most languages x bins numbers come back; a table over MODEL_BYTES is a ValueError.
+    """
     training = training.select("lang", "text").filter("lang IS NOT NULL")
     rows = training.groupBy("lang").count()
-    total = rows.agg(F.sum("count")).first()[0] or 0
-    shares = {r["lang"]: r["count"] / total for r in rows.filter(F.col("count") >= max(1, LEAST_SHARE * total)).collect()}
+    most = MODEL_BYTES // (8 * BINS)
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"over {most} labelled languages need a table of over {MODEL_BYTES} bytes; raise language_id.MODEL_BYTES")
+    shares = {r["lang"]: r["count"] / sum(x["count"] for x in found) for r in found}
     names = sorted(shares)
+    at_name = {n: i for i, n in enumerate(names)}
 
     def counts(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                if lang in names:
+                bins = _bins(raw or b"")
+                if len(bins):
                     if lang not in sums:
                         sums[lang] = np.zeros(BINS, np.int64)
-                    bins = _bins(raw or b"")
-                    if len(bins):
-                        sums[lang] += np.bincount(bins, minlength=BINS)
+                    sums[lang] += np.bincount(bins, minlength=BINS)
         for lang, c in sums.items():
             at = np.flatnonzero(c)
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(c[at], pa.int64())], names=["lang", "bin", "n"])
 
     table = np.full((len(names), BINS), 0.5)
     for r in training.mapInArrow(counts, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toLocalIterator():
-        table[names.index(r["lang"]), r["bin"]] += r["n"]
+        table[at_name[r["lang"]], r["bin"]] += r["n"]
     table = np.log(table / table.sum(axis=1, keepdims=True)) if names else table
-    return Model(names, table, [shares[n] / sum(shares.values()) for n in names])
+    return Model(names, table, [shares[n] for n in names])
 
 
 def text_scores(records: DataFrame, model: Model) -> DataFrame:
@@ -91,11 +97,20 @@ def text_scores(records: DataFrame, model: Model) -> DataFrame:
     return records.select(*columns, "text").mapInArrow(run, f"{kinds}, ll array<double>")
 
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    e = [F.exp(x - top) for x in logs]
-    total = sum(e[1:], e[0])
-    return [x / total for x in e]
+def _numbers(values) -> Column:
+    return F.array(*(F.lit(float(v)) for v in values))
+
+
+def _bind(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _softmax(logs: Column) -> Column:
+    """Posteriors of an array of logarithms; the expression does not grow with the number of languages."""
+    raised = lambda z: _bind(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))
+    shared = lambda e: _bind(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total))
+    return _bind(logs, lambda z: _bind(raised(z), shared))
 
 
 def language_id(records: DataFrame, model: Model) -> DataFrame:
@@ -114,33 +129,34 @@ def language_id(records: DataFrame, model: Model) -> DataFrame:
     carried = [c for c in records.columns if c not in ("text", "declared", "host")]
     packed = records.select(F.struct(*carried, F.lit(0).alias("_")).alias("_row"), "declared", "host", "text")
     rows = text_scores(packed, model)
-    alone = _softmax([F.col("ll")[i] + math.log(s) for i, s in enumerate(model.shares)])
     host = F.lower("host")
+    alone = _softmax(F.zip_with("ll", _numbers(math.log(x) for x in model.shares), lambda x, y: x + y))
     rows = cut(rows.select(
         "_row", "declared", "host", F.lower("declared").alias("_d"), host.alias("_h"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("_m"),
-        F.regexp_extract(host, r"\.([^.]+)$", 1).alias("_s"), *(F.col("ll")[i].alias(f"l{i}") for i in ids), *(p.alias(f"p{i}") for i, p in enumerate(alone)),
+        F.regexp_extract(host, r"\.([^.]+)$", 1).alias("_s"), "ll", alone.alias("own"),
     ))
-    sums = [F.sum(f"p{i}").alias(f"n{i}") for i in ids]
-    every = rows.agg(F.count(F.lit(1)).alias("n"), *sums).first()
-    prior = [((every[f"n{i}"] or 0.0) + 1.0) / (every["n"] + len(names)) for i in ids]
-    rest = lambda to: [F.col(f"n{i}").alias(f"{to}{i}") for i in ids]
+    sums = F.array(*(F.sum(F.col("own")[i]) for i in ids)).alias("n")
+    every = rows.agg(F.count(F.lit(1)).alias("c"), sums).first()
+    totals = [x or 0.0 for x in every["n"]]
+    prior = [(x + 1.0) / (every["c"] + len(names)) for x in totals]
 
     def table(key: str, to: str) -> DataFrame:
         """log P(value | language), smoothed; one row per value."""
-        sizes = rows.filter(F.length(key) > 0).groupBy(key).agg(*sums)
-        got = [F.log((F.col(f"n{i}") + TABLE_WEIGHT * prior[i]) / ((every[f"n{i}"] or 0.0) + TABLE_WEIGHT)).alias(f"{to}{i}") for i in ids]
-        return sizes.select(key, *got)
+        sizes = rows.filter(F.length(key) > 0).groupBy(key).agg(sums)
+        return sizes.select(key, F.zip_with(F.zip_with("n", _numbers(TABLE_WEIGHT * p for p in prior), lambda x, p: x + p), _numbers(x + TABLE_WEIGHT for x in totals), lambda x, t: F.log(x / t)).alias(to))
 
-    domains = rows.groupBy("_m").agg(F.count(F.lit(1)).alias("c"), *sums).select("_m", *((F.col(f"n{i}") + HOST_WEIGHT * prior[i]) / (F.col("c") + HOST_WEIGHT) for i in ids)).toDF("_m", *(f"m{i}" for i in ids))
-    hosts = rows.filter("_h IS NOT NULL").groupBy("_h", "_m").agg(F.count(F.lit(1)).alias("c"), *sums).join(domains, "_m").select("_h", "c", *rest("h"), *(f"m{i}" for i in ids))
+    domains = rows.groupBy("_m").agg(F.count(F.lit(1)).alias("c"), sums)
+    domains = domains.select("_m", F.zip_with("n", _numbers(HOST_WEIGHT * p for p in prior), lambda x, p: (x + p) / (F.col("c") + HOST_WEIGHT)).alias("m"))
+    hosts = rows.filter("_h IS NOT NULL").groupBy("_h", "_m").agg(F.count(F.lit(1)).alias("c"), sums).join(domains, "_m").select("_h", "c", F.col("n").alias("h"), "m")
     declared, suffixes, hosts = cut(table("_d", "d")), cut(table("_s", "s")), cut(hosts)
-    got = rows.join(small(declared, 10_000), "_d", "left").join(small(suffixes, 10_000), "_s", "left").join(small(hosts, 50_000), "_h", "left")
-    logs = []
-    for i in ids:
-        own = F.greatest(F.col(f"h{i}") - F.col(f"p{i}"), F.lit(0.0)) + HOST_WEIGHT * F.col(f"m{i}")
-        at_host = F.coalesce(own / (F.col("c") - 1 + HOST_WEIGHT), F.lit(prior[i]))
-        logs.append(F.col(f"l{i}") + F.log(at_host) + F.coalesce(f"d{i}", F.lit(0.0)) + F.coalesce(f"s{i}", F.lit(0.0)))
-    got = got.select("_row", "declared", "host", F.array(*(p for p in _softmax(logs))).alias("post"), F.array(*(f"p{i}" for i in ids)).alias("own"))
+    # Rows that may be broadcast hold an array of languages each.
+    most = lambda n: max(1, 4 * n // max(4, len(names)))
+    got = rows.join(small(declared, most(10_000)), "_d", "left").join(small(suffixes, most(10_000)), "_s", "left").join(small(hosts, most(50_000)), "_h", "left")
+    mine = F.zip_with(F.zip_with("h", "own", lambda h, p: F.greatest(h - p, F.lit(0.0))), "m", lambda x, m: (x + HOST_WEIGHT * m) / (F.col("c") - 1 + HOST_WEIGHT))
+    logs = F.zip_with("ll", F.coalesce(mine, _numbers(prior)), lambda x, p: x + F.log(p))
+    for evidence in ("d", "s"):
+        logs = F.zip_with(logs, F.coalesce(evidence, _numbers([0.0] * len(names))), lambda x, y: x + y)
+    got = got.select("_row", "declared", "host", _softmax(logs).alias("post"), "own")
     pick = lambda c: F.element_at(F.array(*map(F.lit, names)), F.array_position(c, F.array_max(c)).cast("int"))
     return got.select(*(F.col("_row")[c].alias(c) for c in carried), "declared", "host", pick(F.col("post")).alias("lang"), F.array_max("post").alias("p"), pick(F.col("own")).alias("text_lang"))
 
