@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, exact_dedup, language_id, license_scan, mixing, ngram_jaccard, quality_rules, sentencepiece_codec, token_counts, url_filters
+from . import chunk_dedup, exact_dedup, hard_negatives, language_id, license_scan, mixing, near_vectors, ngram_jaccard, quality_rules, sentencepiece_codec, token_counts, url_filters, vector_codes
 from .common import read
 
 QUERIES, ORACLES = {}, {}
@@ -178,3 +178,58 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(read(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+#: Rows whose vector has only finite components, with whole-numbered components v and unit vector u.
+_VECTORS = r"""
+good AS (SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+e AS (SELECT *, list_transform(x, lambda c: CAST(floor(256 * c) AS DOUBLE)) AS v FROM good)"""
+
+
+def _codes_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    """Assignment and averaging spelled out once per round."""
+    steps = [
+        f"p AS (SELECT rid, k AS part, list_slice(v, k * len(v) // {parts} + 1, (k + 1) * len(v) // {parts}) AS c FROM e, range({parts}) AS r(k))",
+        f"f AS (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS entry FROM e QUALIFY entry < {entries})",
+        "b0 AS (SELECT part, entry, c FROM p JOIN f USING (rid))",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (SELECT rid, part, min(CAST(list_inner_product(p.c, p.c) - 2 * list_inner_product(p.c, b.c) + list_inner_product(b.c, b.c) AS BIGINT) * 64 + entry) AS hit
+  FROM p JOIN b{i} AS b USING (part) GROUP BY rid, part)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT part, entry, list(floor(s / n) ORDER BY pos) AS c FROM (SELECT part, hit % 64 AS entry, pos, sum(c[pos]) AS s, count(*) AS n
+  FROM a{i} JOIN p USING (rid, part), range(1, len(c) + 1) AS r(pos) GROUP BY part, hit % 64, pos) GROUP BY part, entry)""")
+            steps.append(f"b{i + 1} AS (SELECT part, entry, coalesce(m.c, b.c) AS c FROM b{i} AS b LEFT JOIN m{i} AS m USING (part, entry))")
+    steps.append(f"""o AS (SELECT rid, string_agg(format('{{:02x}}', hit % 64), '' ORDER BY part) AS code, CAST(sum(hit // 64) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)""")
+    steps.append(f"h AS (SELECT sha256(string_agg(CAST(CAST(c[pos] AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds}, range(1, len(c) + 1) AS r(pos))")
+    last = "SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o JOIN e USING (rid), h"
+    return f"WITH {_VECTORS},\n" + ",\n".join(steps) + "\n" + last
+
+
+@query(_codes_sql())
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(read(spark, folder, "embeddings"))
+
+
+@query(rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings),
+u AS (SELECT rid, CAST(embedding AS DOUBLE[]) AS x FROM d WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l AS (SELECT a.rid AS a, b.rid AS b FROM u AS a JOIN u AS b ON a.rid <> b.rid AND list_cosine_similarity(a.x, b.x) >= 0.9),
+r AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS rid, min(d.vec_id) AS component_id FROM r JOIN d ON r.b = d.rid GROUP BY r.a),
+n AS (SELECT a AS rid, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)""")
+def op12_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_vectors(read(spark, folder, "embeddings"))
+
+
+@query(rf"""
+WITH {_VECTORS},
+g AS (SELECT rid, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM e WHERE vec_id IS NOT NULL AND label IS NOT NULL),
+s AS (SELECT a.rid, a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM g AS a JOIN g AS b ON a.id <> b.id WHERE a.id % 50 = 0),
+p AS (SELECT rid, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY rid ORDER BY score DESC, id) AS place FROM s WHERE same QUALIFY place <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.rid, place ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (rid, anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3""")
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mine_embeddings(read(spark, folder, "embeddings"))
