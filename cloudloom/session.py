@@ -1,5 +1,6 @@
 """Session settings, lineage cuts and size-checked broadcasts."""
 
+import gc
 import tempfile
 import uuid
 
@@ -8,6 +9,9 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 
+#: Tables that ``cut`` wrote in this process and ``sweep`` has not removed.
+_WRITTEN: list[str] = []
+
 
 def build_session(cpus: int = 8, app: str = "cloudloom") -> SparkSession:
     """Local session for tests and the bench; a cluster brings its own."""
@@ -45,9 +49,35 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """A mark for ``sweep``: how many tables ``cut`` has written so far."""
+    return len(_WRITTEN)
+
+
+def sweep(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Remove the tables that ``cut`` wrote after the mark ``since``, but for the one that ``keep`` was read from.
+
+    For callers that have written a whole result and need nothing it was made from.
+    """
+    held = set() if keep is None else {f.rsplit("/", 1)[0].split("cut-")[-1] for f in keep.inputFiles()}
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    for path in _WRITTEN[since:]:
+        if path.split("cut-")[-1] not in held:
+            place = hadoop(path)
+            place.getFileSystem(conf).delete(place, True)
+            _WRITTEN.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished jobs: it acts when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only when it is proven to hold at most ``max_rows`` rows.
 
