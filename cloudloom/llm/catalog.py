@@ -146,10 +146,9 @@ rep AS (SELECT rid, count(DISTINCT pos + k) AS n_repeat_words FROM r, unnest(ran
 l AS (SELECT rid, host, md5(text) AS body, unnest(string_split(text, chr(10))) AS line FROM d),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
 nl AS (SELECT rid, host, body, lower(trim(regexp_replace(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'), ' ')) AS line FROM l),
-hosts AS (SELECT host, count(DISTINCT md5(text)) AS all_docs FROM d GROUP BY host),
 often AS (SELECT host, line, count(DISTINCT body) AS n_docs FROM nl WHERE line <> '' GROUP BY host, line),
-gone AS (SELECT rid, sum(len(string_split(line, ' '))) AS n_removed FROM nl JOIN often USING (host, line) JOIN hosts USING (host)
-  WHERE n_docs > 20 AND n_docs > 0.2 * all_docs GROUP BY rid),
+gone AS (SELECT rid, sum(len(string_split(line, ' '))) AS n_removed FROM nl JOIN often USING (host, line)
+  WHERE n_docs > 20 GROUP BY rid),
 b AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
   coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed

@@ -151,13 +151,15 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with every repeated run cut out of its text except where it is owned; all columns stay."""
-    gone = repeated_spans(docs).filter("NOT owned").groupBy("doc_id", "k").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    gone = cut(gone.select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "_cuts"))
-    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_k"))
-    marked = docs.join(gone, key, "left")
+    gone = repeated_spans(docs).filter("NOT owned").groupBy("doc_id", "k").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    gone = cut(gone.select(F.col("doc_id").alias("id"), F.col("k").alias("of"), "cuts"))
+    text = F.col("row.text")
+    key = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("of"))
+    marked = docs.select(F.struct("*").alias("row")).join(gone, key, "left")
     # The kept stretches: from the end of each cut to the start of the next.
-    raw = F.encode("text", "UTF-8")
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.col("_cuts.end"))
-    stops = F.concat(F.col("_cuts.start"), F.array(F.octet_length("text").cast("long")))
+    raw = F.encode(text, "UTF-8")
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.col("cuts.end"))
+    stops = F.concat(F.col("cuts.start"), F.array(F.octet_length(text).cast("long")))
     parts = F.zip_with(starts, stops, lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "UTF-8"))
-    return marked.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(parts, ""))).select(*docs.columns)
+    rest = F.when(F.col("cuts").isNull(), text).otherwise(F.array_join(parts, ""))
+    return marked.select(*(rest.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -112,10 +112,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "sha", "n_bytes", (F.shiftleft("h1", 31) + F.col("h2")).alias("fp"))
 
 
+def whole_fingerprint(raw: bytes) -> tuple[int, int, int]:
+    """The fingerprint of a text of any length, piece after piece."""
+    got = (0, 0, 0)
+    for at in range(0, len(raw), PIECE):
+        got = combine(got, fingerprint(raw[at:at + PIECE]))
+    return got
+
+
 def _normalised(batches):
+    """(doc_id, sha, fp, n_bytes, raw): texts of shared groups with their key, so that no table has to tell it."""
     for batch in batches:
         raw = [squash(t) for t in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()), pa.array(raw, pa.binary())], names=["doc_id", "sha", "raw"])
+        marks = [whole_fingerprint(r) for r in raw]
+        fp = pa.array([(h1 << 31) + h2 for h1, h2, _ in marks], pa.int64())
+        yield pa.record_batch([batch.column(0), pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()), fp, pa.array([n for *_, n in marks], pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "sha", "fp", "n_bytes", "raw"])
 
 
 def _differing(batches):
@@ -152,17 +163,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     rows = cut(fingerprints(docs))
     key = ["fp", "n_bytes"]
-    groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
-    shared = cut(rows.join(groups, key).select("doc_id", "sha", "n_bytes", "fp", "n", "first"))
-    ids = shared.select(F.col("doc_id").alias("id")).distinct()
+    groups = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).filter("n > 1"))
+    few = small(groups, NARROW_ROWS // 2)
+    ids = cut(rows.select(*key, "doc_id").join(few, key, "left_semi").select(F.col("doc_id").alias("id")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(small(ids, NARROW_ROWS), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(_normalised, "doc_id long, sha string, raw binary")
-    on = [texts.doc_id.eqNullSafe(F.col("g.doc_id")), texts.sha == F.col("g.sha")]
-    texts = texts.join(shared.distinct().alias("g"), on).select(*key, "n", texts.doc_id, texts.sha, texts.raw, texts.doc_id.eqNullSafe(F.col("first")).alias("is_first"))
+    texts = texts.join(small(ids, NARROW_ROWS), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(_normalised, "doc_id long, sha string, fp long, n_bytes long, raw binary")
+    # Shared texts meet once, in their salted groups; the first row of a group goes ahead into every salt.
+    texts = texts.join(few, key)
     salts = F.ceil(F.col("n") / SPREAD).cast("int")
-    members = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
-    leaders = texts.filter("is_first").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    both = members.withColumn("ahead", F.lit(1)).unionByName(leaders.withColumn("ahead", F.lit(0)))
+    own = F.array(F.struct(F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), F.lit(1).alias("ahead")))
+    every = F.transform(F.sequence(F.lit(0), salts - 1), lambda i: F.struct(i.alias("salt"), F.lit(0).alias("ahead")))
+    both = texts.withColumn("s", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.concat(own, every)).otherwise(own))).select(*key, "s.salt", "s.ahead", "doc_id", "sha", "raw")
     odd = cut(
         both.repartition(*key, "salt").sortWithinPartitions(*key, "salt", "ahead", "sha")
         .select(*key, "salt", "doc_id", "sha", "raw").mapInArrow(_differing, "doc_id long, sha string").distinct()
@@ -189,12 +200,11 @@ def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     The dropped ids are the smaller side, so they are what is joined; rows repeated with id and text are thinned apart.
     """
-    tag = F.concat_ws(":", F.sha2(squashed(F.col("text")), 256), F.col("doc_id").cast("string"))
-    found = cut(found.select(F.concat_ws(":", "text_sha256", F.col("doc_id").cast("string")).alias("_tag"), "kept"))
-    tags = cut(found.groupBy("_tag").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("NOT kept OR n > 1"))
-    gone = tags.select("_tag", "kept")
-    marked = docs.withColumn("_tag", tag).join(small(gone, NARROW_ROWS // 8), "_tag", "left")
-    once = marked.filter("kept IS NULL")
-    if tags.filter("kept").isEmpty():
-        return once.select(*docs.columns)
-    return once.select(*docs.columns).unionByName(marked.filter("kept").dropDuplicates(["_tag"]).select(*docs.columns))
+    found = cut(found.select(F.concat_ws(":", "text_sha256", F.col("doc_id").cast("string")).alias("tag"), "kept"))
+    tags = cut(found.groupBy("tag").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")).filter("NOT stays OR n > 1"))
+    own = F.concat_ws(":", F.sha2(squashed(F.col("row.text")), 256), F.col("row.doc_id").cast("string"))
+    marked = docs.select(F.struct("*").alias("row")).select("row", own.alias("tag")).join(small(tags.select("tag", "stays"), NARROW_ROWS // 8), "tag", "left")
+    once = marked.filter("stays IS NULL")
+    if tags.filter("stays").isEmpty():
+        return once.select("row.*")
+    return once.select("row.*").unionByName(marked.filter("stays").dropDuplicates(["tag"]).select("row.*"))

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, small
+from .common import NARROW_ROWS
 from .quality_rules import words_of
 
 GOLDEN = 0.6180339887498949
@@ -94,7 +95,15 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataF
 
 
 def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes its words, rounded to whole documents."""
-    times = mixed.filter("size > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_n"))
-    times = times.groupBy("_id").agg(F.max("_n").alias("_n")).filter("_n > 0")
-    return docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes its words, rounded to whole documents; all columns stay.
+
+    Counts other than one are looked up by id and source, both null-safe, so texts stay where they are while the counts
+    are few enough to be broadcast.  Rows that share id and source get the largest of their counts.
+    """
+    n = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    times = mixed.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), n.alias("n")).groupBy("id", "of").agg(F.max("n").alias("n"))
+    times = cut(times.filter("n <> 1"))
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.join(small(times, NARROW_ROWS // 2), F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").cast("string").eqNullSafe(F.col("of")), "left")
+    copies = F.expr("array_repeat(0, coalesce(n, 1))")
+    return rows.select("row", F.explode(copies)).select("row.*")

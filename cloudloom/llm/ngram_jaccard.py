@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..session import cut, small
+from ..session import cut, release, small
 from .common import NARROW_ROWS, WordHashes, mix
 
 #: Spare second-level parts are one in so many, and one more.
@@ -184,12 +184,14 @@ def _possible(num, den):
 def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity; whole sets travel only for pairs that may reach it."""
     one = lambda to: nodes.select(F.col("node").alias(to), F.col("n").alias("n" + to), F.col("sketch").alias("s" + to))
-    pairs = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(num, den), "a long, b long")
-    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
+    pairs = cut(pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(num, den), "a long, b long"))
+    # Pairs are narrow and few by now: they pick their sets before a set moves.
+    left = sets.withColumnRenamed("node", "a").join(small(pairs, NARROW_ROWS), "a").select("a", "b", F.col("elements").alias("x"))
+    ends = small(cut(pairs.select(F.col("b").alias("node")).distinct()), NARROW_ROWS)
+    right = sets.join(ends, "node", "left_semi").select(F.col("node").alias("b"), F.col("elements").alias("y"))
     return (
-        pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
-        .filter(F.col("i") * den >= (F.size("x") + F.size("y") - F.col("i")) * num).select("a", "b")
+        left.join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
+        .filter(F.col("i") * den >= (F.size("x") + F.size("y") - F.col("i")) * num).select("a", "b").distinct()
     )
 
 
@@ -245,7 +247,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     nodes = cut(docs.mapInArrow(_nodes(size), "doc_id long, n long, node long, sketch binary"))
     signed = docs.mapInArrow(_signed(size, num, den), "sig long, node long")
     stars = cut(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "key long, a long, b long"))
+    release(docs.sparkSession)  # the signatures' shuffle, the largest one, is done with
     links = _all_links(docs, nodes, stars, size, num, den)
+    release(docs.sparkSession)
     got = nodes.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("component", "node"))
     least = got.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return got.join(least, "root", "left").select(
@@ -258,10 +262,13 @@ def _all_links(docs: DataFrame, nodes: DataFrame, stars: DataFrame, size: int, n
     seen = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     met = cut(met.join(seen, "node"))
     chosen = met.select("id")
-    sets = cut(
-        docs.join(small(cut(chosen.distinct()), NARROW_ROWS), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-        .mapInArrow(_sets(size), "node long, elements array<long>").join(met.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    )
+    chosen = small(cut(chosen.distinct()), NARROW_ROWS)
+    is_chosen = F.col("doc_id").eqNullSafe(F.col("id"))
+    sets = docs.join(chosen, is_chosen, "left_semi").mapInArrow(_sets(size), "node long, elements array<long>").join(small(met.select("node"), NARROW_ROWS), "node", "left_semi")
+    repeated = docs.select("doc_id").join(chosen, is_chosen, "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    if not repeated.isEmpty():  # an id on several rows brings its sets several times
+        sets = sets.dropDuplicates(["node"])
+    sets = cut(sets)
     tried = cut(stars.select("a", "b").distinct())
     links = cut(_links(tried, met, sets, num, den))
     many = stars.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a")).filter("n > 1")
@@ -292,5 +299,6 @@ def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     Rows with a null doc_id have nothing to be dropped by and stay; rows that repeat the smallest doc_id all stay.
     """
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(cut(gone), NARROW_ROWS), F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(small(cut(gone), NARROW_ROWS), F.col("row.doc_id") == F.col("id"), "left_anti").select("row.*")

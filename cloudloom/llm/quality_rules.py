@@ -87,11 +87,11 @@ def removed_words(docs: DataFrame, min_docs: int, max_share: float) -> DataFrame
     return found.groupBy("k1", "k2").agg(F.sum("w").alias("n_removed"), F.sort_array(F.collect_list("pos")).alias("at"))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, min_docs: int = 20, max_share: float = 0.2, min_left: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, min_docs: int = 20, max_share: float = 0.0, min_left: float = 0.5) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed) per row of ``docs``.
 
-    A line goes when more than ``min_docs`` documents and more than ``max_share`` of all documents of its host have it;
-    copies of one text count once, and lines are compared in lower case, with digits as 0 and single spaces.  A document
+    A line goes when more than ``min_docs`` documents of its host have it, whatever the host's size; ``max_share`` above 0
+    asks for that share of the host's documents too.  Copies of one text count once, and lines are compared in lower case, with digits as 0 and single spaces.  A document
     is kept unless it fails the base rules, or fewer than ``min_words`` words or less than ``min_left`` of its words stay.
     A null text has no words and fails; documents with a null source are one host; a null doc_id is returned as null;
     repeated rows get one verdict and are all returned; other columns are not read; an empty table gives no rows.
@@ -99,7 +99,7 @@ def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, mi
     return judged(docs, min_words, max_repeat, min_docs, max_share, min_left).drop("k1", "k2", "at")
 
 
-def judged(docs, min_words=10, max_repeat=20, min_docs=20, max_share=0.2, min_left=0.5) -> DataFrame:
+def judged(docs, min_words=10, max_repeat=20, min_docs=20, max_share=0.0, min_left=0.5) -> DataFrame:
     docs = _keyed(docs)
     got = base_rules(docs, min_words, max_repeat).join(removed_words(docs, min_docs, max_share), ["k1", "k2"], "left")
     got = got.withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
@@ -110,33 +110,30 @@ def judged(docs, min_words=10, max_repeat=20, min_docs=20, max_share=0.2, min_le
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns; the rejected ones are what is joined."""
-    bad = cut(judged(docs, **limits).filter("NOT kept").select(F.col("k1").alias("_b1"), F.col("k2").alias("_b2")).distinct())
+    bad = cut(judged(docs, **limits).filter("NOT kept").select("k1", "k2").distinct())
     k1, k2 = _row_key()
-    marked = docs.select("*", k1.alias("_k1"), k2.alias("_k2"))
-    return marked.join(small(bad, NARROW_ROWS // 2), (F.col("_k1") == F.col("_b1")) & (F.col("_k2") == F.col("_b2")), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2"))
+    return rows.join(small(bad, NARROW_ROWS // 2), ["k1", "k2"], "left_anti").select("row.*")
 
 
-def clean_good(docs: DataFrame, max_share: float = 0.0, **limits) -> DataFrame:
+def clean_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that the rules keep, without the lines above the limits; all columns stay.
 
-    Here ``min_docs`` documents are enough by default, whatever the host's size: a share would loosen as hosts grow.
     A removed line goes with its line break; other lines stay byte for byte.  A column n_chars, where there is one,
     follows a text that lost lines.
     """
-    marks = judged(docs, max_share=max_share, **limits).filter("NOT kept OR at IS NOT NULL").select(F.col("k1").alias("_m1"), F.col("k2").alias("_m2"), F.col("kept").alias("_kept"), F.col("at").alias("_at"))
-    marks = cut(marks.distinct())
+    marks = cut(judged(docs, **limits).filter("NOT kept OR at IS NOT NULL").select("k1", "k2", F.col("kept").alias("stays"), "at").distinct())
     # Keys and places as bytes: what may be broadcast is bounded by both.
-    if (marks.agg(F.sum(24 + 4 * F.size(F.coalesce("_at", F.array().cast("array<int>"))))).first()[0] or 0) <= 16 * NARROW_ROWS:
+    if (marks.agg(F.sum(24 + 4 * F.size(F.coalesce("at", F.array().cast("array<int>"))))).first()[0] or 0) <= 16 * NARROW_ROWS:
         marks = F.broadcast(marks)
     k1, k2 = _row_key()
-    rows = docs.select("*", k1.alias("_k1"), k2.alias("_k2")).join(marks, (F.col("_k1") == F.col("_m1")) & (F.col("_k2") == F.col("_m2")), "left")
-    rows = rows.filter(F.coalesce("_kept", F.lit(True)))
+    rows = docs.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2")).join(marks, ["k1", "k2"], "left").filter(F.coalesce("stays", F.lit(True)))
     # The kept stretches: from after each removed line to the next.
-    starts = F.concat(F.array(F.lit(0)), F.transform("_at", lambda x: x + 1))
-    stretches = lambda z: F.flatten(F.zip_with(starts, F.concat("_at", F.array(F.size(z))), lambda a, b: F.slice(z, a + 1, b - a)))
-    rest = F.transform(F.array(F.split("text", "\n")), lambda z: F.array_join(stretches(z), "\n"))[0]  # splits once
-    lost = F.col("_at").isNotNull()
-    rows = rows.withColumn("text", F.when(lost, rest).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(lost, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    starts = F.concat(F.array(F.lit(0)), F.transform("at", lambda x: x + 1))
+    stretches = lambda z: F.flatten(F.zip_with(starts, F.concat("at", F.array(F.size(z))), lambda a, b: F.slice(z, a + 1, b - a)))
+    rest = F.transform(F.array(F.split("row.text", "\n")), lambda z: F.array_join(stretches(z), "\n"))[0]  # splits once
+    lost = F.col("at").isNotNull()
+    rows = rows.select("row", lost.alias("lost"), F.when(lost, rest).otherwise(F.col("row.text")).alias("rest"))
+    count = lambda c: F.when(F.col("lost"), F.char_length("rest").cast(docs.schema[c].dataType)).otherwise(F.col("row.n_chars"))
+    new = {"text": lambda c: F.col("rest"), "n_chars": count}
+    return rows.select(*(new[c](c).alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

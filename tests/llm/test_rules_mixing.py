@@ -18,6 +18,8 @@ def _rows(seed=1, n=150):
         if rnd.random() < 0.2:
             lines.append(" ".join(f"u{rnd.randrange(10**6)}" for _ in range(30)))
         rows.append((i, rnd.choice(["\n", "\n\n", "\r\n"]).join(lines), rnd.choice(["s1", "s1", "s2", "é", None])))
+    # Thirty documents whose common line is more than half of them, and thirty with enough beside it.
+    rows += [(1000 + i, "Subscribe to our weekly letter and never miss a story again today\n" + " ".join(f"v{i}x{j}" for j in range(8 if i < 30 else 40)), "s1") for i in range(60)]
     rows += [(500, None, "s1"), (501, "", None), (502, " \t\n", "s2"), (None, "one two three", "s1"), (None, None, None), (503, "w " * 4000, "s9"), rows[3], rows[3], (504, "", "empty source")]
     return rows
 
