@@ -66,11 +66,18 @@ def squash(text: str | None) -> bytes:
     return (b" " if raw[:1].isspace() else b"") + b" ".join(words) + (b" " if raw[-1:].isspace() else b"")
 
 
+def _slices(batches, rows: int = 1024):
+    """Batches of fewer rows, so that few texts are held at once."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 FP_SCHEMA = "doc_id long, sha string, n_bytes long, h1 long, h2 long"
 
 
 def _fingerprints(batches):
-    for batch in batches:
+    for batch in _slices(batches):
         out = {k: [] for k in ("doc_id", "sha", "n_bytes", "h1", "h2")}
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             raw = squash(text)
@@ -122,7 +129,7 @@ def whole_fingerprint(raw: bytes) -> tuple[int, int, int]:
 
 def _normalised(batches):
     """(doc_id, sha, fp, n_bytes, raw): texts of shared groups with their key, so that no table has to tell it."""
-    for batch in batches:
+    for batch in _slices(batches):
         raw = [squash(t) for t in batch.column(1).to_pylist()]
         marks = [whole_fingerprint(r) for r in raw]
         fp = pa.array([(h1 << 31) + h2 for h1, h2, _ in marks], pa.int64())

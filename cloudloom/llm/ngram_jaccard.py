@@ -33,6 +33,8 @@ SPARE = 8
 SMALL = 32
 #: Set digests that a task remembers so that copies sign once.
 SEEN = 200_000
+#: Texts of a batch that are held as sets at once.
+CHUNK = 512
 #: Bins of a set's sketch.
 BINS = 128
 
@@ -105,8 +107,10 @@ def _nodes(size):
     def run(batches):
         words = WordHashes()
         for batch in batches:
-            sets = [shingles(t, size, words) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array(map(sketch, sets), pa.binary())], names=["doc_id", "n", "node", "sketch"])
+            for lo in range(0, batch.num_rows, CHUNK):
+                some = batch.slice(lo, CHUNK)
+                sets = [shingles(t, size, words) for t in some.column(1).to_pylist()]
+                yield pa.record_batch([some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array(map(sketch, sets), pa.binary())], names=["doc_id", "n", "node", "sketch"])
 
     return run
 
