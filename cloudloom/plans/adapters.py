@@ -39,6 +39,17 @@ REGIONS = """SELECT CAST(n_nationkey AS BIGINT) AS shape_id, (n_nationkey%5)*CAS
 INSTANCES = """SELECT CAST(s_suppkey AS INT) AS "segId", CAST(s_suppkey%6 AS INT) AS class_id,
  s_acctbal > 0 AS confirmed, CAST(s_suppkey AS INT) AS seq FROM supplier"""
 
+#: Bodies to be found again: per 1,500 customers (numbered from 0) one scan with a floor and a pipe in two pieces, 0.2 m apart.
+BODIES = """SELECT CAST(floor(c_custkey / 1500) AS BIGINT) AS scan_no, CAST(c_custkey % 1500 AS BIGINT) AS point_id, c_custkey AS k,
+ CASE WHEN c_custkey % 1500 < 750 THEN 'floor' ELSE 'pipe' END AS body,
+ CAST(CASE WHEN c_custkey % 1500 < 1125 THEN 1 ELSE 2 END AS BIGINT) AS piece,
+ CASE WHEN c_custkey % 1500 < 750 THEN (c_custkey % 1500 % 27) * CAST(0.055 AS DOUBLE)
+  ELSE floor((c_custkey % 1500 - 750) / CAST(25 AS DOUBLE)) * CAST(0.05 AS DOUBLE) + CASE WHEN c_custkey % 1500 >= 1125 THEN CAST(0.15 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END END AS x,
+ CASE WHEN c_custkey % 1500 < 750 THEN floor(c_custkey % 1500 / CAST(27 AS DOUBLE)) * CAST(0.055 AS DOUBLE)
+  ELSE CAST(1 AS DOUBLE) + CAST(0.2 AS DOUBLE) * cos((c_custkey % 25) * pi() * CAST(0.08 AS DOUBLE)) END AS y,
+ CASE WHEN c_custkey % 1500 < 750 THEN CAST(0 AS DOUBLE)
+  ELSE CAST(1.5 AS DOUBLE) + CAST(0.2 AS DOUBLE) * sin((c_custkey % 25) * pi() * CAST(0.08 AS DOUBLE)) END AS z FROM customer"""
+
 SESSIONS = """SELECT CAST(o_custkey AS VARCHAR(20)) AS scan_id, CAST(o_orderkey AS VARCHAR(20)) AS session_id,
  o_orderstatus AS st, o_orderdate, o_totalprice, o_orderkey FROM orders"""
 
@@ -88,6 +99,11 @@ def regions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """Planted floors and pipes, one scan per 1,500 customers."""
+    return run(spark, folder, BODIES).selectExpr("concat('s', scan_no) AS scan_id", "point_id", "body", "piece", "x", "y", "z")
+
+
 def instances(spark: SparkSession, folder: str) -> DataFrame:
     return run(spark, folder, INSTANCES)
 

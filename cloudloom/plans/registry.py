@@ -7,7 +7,7 @@ from . import adapters as ad
 QUERIES, ORACLES = {}, {}
 
 WITH = {
-    "li": ad.LI, "emb": ad.EMB.format(1, 2, 3), "boxes": ad.BOXES, "reg": ad.REGIONS, "inst": ad.INSTANCES, "sess": ad.SESSIONS,
+    "li": ad.LI, "emb": ad.EMB.format(1, 2, 3), "boxes": ad.BOXES, "reg": ad.REGIONS, "inst": ad.INSTANCES, "sess": ad.SESSIONS, "bodies": ad.BODIES,
 }
 
 

@@ -182,10 +182,20 @@ def _(s, d):
     return se.classify_surface(_curved(s, d)[2]).select("point_id", "surface", R("k1", 4).alias("k1"), R("k2", 4).alias("k2"))
 
 
-@query("clu10_set4_ransac_planes")
+@query("clu10_set4_ransac_planes", "SELECT true AS unit, true AS near, true AS enough, true AS once, count(*) AS n_points FROM emb", "emb")
 def _(s, d):
-    taken, models = se.ransac_planes(ad.emb(s, d), distance=0.3, min_inliers=30, max_planes=2, eps=1.5)
-    return taken.groupBy("plane_id").agg(F.count("*").alias("n_points"))
+    """All planes of the cloud at the default limit of rounds, held against what every plane must fulfil."""
+    e = ad.emb(s, d)
+    taken, models = se.ransac_planes(e, distance=0.3, min_inliers=30, eps=1.5)
+    taken = cut(taken)
+    rows = taken.join(models, ["scan_id", "plane_id"]).join(e.select("scan_id", "point_id", "x", "y", "z"), ["scan_id", "point_id"])
+    each = rows.groupBy("scan_id", "plane_id").agg(
+        F.count("*").alias("n"), F.max(F.abs(F.expr("a*a + b*b + c*c") - 1)).alias("u"), F.max(F.abs(F.expr("a*x + b*y + c*z + d"))).alias("off"))
+    held = each.agg(F.coalesce(F.max("u"), F.lit(0.0)).alias("u"), F.coalesce(F.max("off"), F.lit(0.0)).alias("off"), F.coalesce(F.min("n"), F.lit(30)).alias("least"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    ids = taken.select(F.count("*").alias("rows"), F.count_distinct("point_id").alias("ids"))
+    rest = e.join(taken, ["scan_id", "point_id"], "left_anti").select(F.count("*").alias("rest"))
+    one = lambda df: df.withColumn("k", F.lit(1))
+    return one(held).join(one(ids), "k").join(one(rest), "k").select((F.col("u") < 1e-9).alias("unit"), (F.col("off") <= 0.3).alias("near"), (F.col("least") >= 30).alias("enough"), (F.col("rows") == F.col("ids")).alias("once"), (F.col("n") + F.col("rest")).alias("n_points"))
 
 
 @query("clu11_clu12_clu14_cylinders")
@@ -193,10 +203,43 @@ def _(s, d):
     e, _n, curved = _curved(s, d)
     rows = e.join(curved, ["scan_id", "point_id"])
     grown = cut(se.grow_cylinders(rows, 1.2, 0.9, 1.8))
-    fits = cut(se.fit_cylinders(grown.join(rows, ["scan_id", "point_id"]), distance=0.3, trials=40))
+    fits = cut(se.fit_cylinders(grown.join(rows, ["scan_id", "point_id"]), distance=0.3))
     return se.merge_coaxial(fits).join(fits, ["scan_id", "cluster_id"]).select("cluster_id", "merged_id", "n", R("radius", 4).alias("radius"), "label")
 
 
+@query("clu12_fitted_pieces", """SELECT concat('s', scan_no) AS scan_id, piece AS cluster_id, count(*) AS n, count(*) AS n_inliers, CAST(0.2 AS DOUBLE) AS radius, round(max(x) - min(x), 4) AS length
+ FROM bodies WHERE body = 'pipe' GROUP BY scan_no, piece HAVING count(*) >= 20""", "bodies")
+def _(s, d):
+    """Circles through three points drawn from all points of a piece; all of its points are on the winner."""
+    return se.fit_cylinders(_pieces(s, d)).select("scan_id", "cluster_id", "n", "n_inliers", R("radius", 4).alias("radius"), R("length", 4).alias("length"))
+
+
+@query("clu14_refitted_pipes", """SELECT concat('s', scan_no) AS scan_id, min(piece) AS cluster_id, count(*) AS n, count(*) AS n_inliers, CAST(0.2 AS DOUBLE) AS radius, round(max(x) - min(x), 4) AS length
+ FROM bodies WHERE body = 'pipe' GROUP BY scan_no HAVING count(*) >= 20""", "bodies")
+def _(s, d):
+    """Two pieces of a pipe become one, with the length of the whole."""
+    points = _pieces(s, d)
+    fits = cut(se.fit_cylinders(points))
+    return se.refit_merged(points, fits, cut(se.merge_coaxial(fits))).select("scan_id", "cluster_id", "n", "n_inliers", R("radius", 4).alias("radius"), R("length", 4).alias("length"))
+
+
+def _pieces(s, d):
+    return ad.bodies(s, d).filter("body = 'pipe'").selectExpr("scan_id", "point_id", "x", "y", "z", "piece AS cluster_id", "1D AS ax", "0D AS ay", "0D AS az")
+
+
+@query("clu16_presegment", """SELECT concat('s', scan_no) AS scan_id, body, count(*) AS n_points, 0 AS unassigned, true AS one_segment, CASE body WHEN 'floor' THEN 'plane' ELSE 'cylinder' END AS type,
+ body = 'pipe' AS has_radius FROM bodies GROUP BY scan_no, body""", "bodies")
+def _(s, d):
+    """Full segmentation of all scans together: every body comes back as one segment of its kind."""
+    points = cut(ad.bodies(s, d))
+    seg, summary = se.presegment(points.select("scan_id", "point_id", "x", "y", "z"))
+    both = points.join(seg, ["scan_id", "point_id"]).groupBy("scan_id", "body", "segment_id").agg(F.count("*").alias("c"))
+    main = both.groupBy("scan_id", "body").agg(F.sum("c").alias("n_points"), F.max("c").alias("top"), F.max_by("segment_id", F.struct("c", "segment_id")).alias("segment_id"), F.sum(F.when(F.col("segment_id") < 0, F.col("c")).otherwise(0)).cast("int").alias("unassigned"))
+    return main.join(summary.select("scan_id", "segment_id", "type", "radius"), ["scan_id", "segment_id"]).select(
+        "scan_id", "body", "n_points", "unassigned", (F.col("top") >= 0.9 * F.col("n_points")).alias("one_segment"), "type",
+        F.coalesce(F.abs(F.col("radius") - 0.2) < 0.02, F.lit(False)).alias("has_radius"))
+
+
 def _grid_segments(s, d):
     """One grid bin in three left unassigned."""
     bins = cl.grid_bin(ad.emb(s, d), 1.0)
