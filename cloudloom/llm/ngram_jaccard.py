@@ -187,7 +187,7 @@ def _possible(num, den):
 
 def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity; whole sets travel only for pairs that may reach it."""
-    one = lambda to: nodes.select(F.col("node").alias(to), F.col("n").alias("n" + to), F.col("sketch").alias("s" + to))
+    one = lambda to: small(nodes.select(F.col("node").alias(to), F.col("n").alias("n" + to), F.col("sketch").alias("s" + to)))
     pairs = cut(pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(num, den), "a long, b long"))
     # Pairs are narrow and few by now: they pick their sets before a set moves.
     left = sets.withColumnRenamed("node", "a").join(small(pairs, NARROW_ROWS), "a").select("a", "b", F.col("elements").alias("x"))
