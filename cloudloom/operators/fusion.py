@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import look_at
 from ..schema import UNSET
 from ..session import cut, is_empty, small
+from .celltree import meet_views
 
 KEY = ["scan_id", "point_id"]
 PIX = ["frame_id", "u", "v"]
@@ -25,41 +26,21 @@ def with_views(frames: DataFrame, up=(0.0, 1.0, 0.0)) -> DataFrame:
     view = look_at("position", "target", up)
     focal = (F.col("height") / 2.0) / F.tan(F.radians("fov") / 2.0)
     return frames.select(
-        "frame_id", "position", "width", "height", focal.alias("focal"), *[c.alias(f"m{i}") for i, c in enumerate(view)]
+        "frame_id", "width", "height", focal.alias("focal"), *[c.alias(f"m{i}") for i, c in enumerate(view)]
     )
 
 
 def project(points: DataFrame, frames: DataFrame, max_depth: float | None = None, up=(0.0, 1.0, 0.0)) -> DataFrame:
     """(keys, frame_id, pu, pv, depth, in_front, width, height) with sub-pixel coordinates.
 
-    Without a range every frame sees every point, in front of it or not.  With one, points meet a frame through the grid
-    cells that its view up to this depth can touch; rows beyond the view may be missing.
+    Points meet the frames whose view can hold them through a tree of cells, so the work follows the points in view and
+    not points times frames.  Views have no far end unless ``max_depth`` is given; rows outside a view may be missing.
     """
-    view = with_views(frames, up)
-    if max_depth is None:
-        joined = points.withColumn("_k", F.lit(0)).join(small(view.withColumn("_k", F.lit(0))), "_k").drop("_k")
-    else:
-        view = cut(view)  # matrices once per frame, not once per cell
-        cell = max_depth / 4
-        # The far corner of the view is this far away; the tangents of half its angles bound its sides.
-        side = [F.col(n) / 2.0 / F.col("focal") for n in ("width", "height")]
-        reach = max_depth * F.sqrt(1.0 + side[0] * side[0] + side[1] * side[1])
-        for i, g in enumerate(("gx", "gy", "gz")):
-            low, high = (F.floor((F.col("position")[i] + sign * reach) / cell) for sign in (-1, 1))
-            view = view.withColumn(g, F.explode(F.sequence(low, high)))
-        # A cell stays if the ball around it reaches the view: its depth range and its four sides.
-        ball, mid = cell * math.sqrt(3) / 2, [(F.col(g) + 0.5) * cell for g in ("gx", "gy", "gz")]
-        at = [sum((F.col(f"m{3 * i + j}") * mid[j] for j in range(3)), F.col(f"m{9 + i}")) for i in range(3)]
-        touch = (-at[2] > -ball) & (-at[2] < max_depth + ball)
-        for c, t in zip(at, side):
-            touch = touch & (F.abs(c) - t * -at[2] <= ball * F.sqrt(1.0 + t * t))
-        view = view.filter(touch)
-        keyed = points.withColumns({f"g{a}": F.floor(F.col(a) / cell) for a in "xyz"})
-        joined = keyed.join(small(view), ["gx", "gy", "gz"]).drop("gx", "gy", "gz")
+    joined = meet_views(points, with_views(frames, up), NEAR, max_depth)
     cam = [sum((F.col(f"m{3 * i + j}") * F.col(a) for j, a in enumerate("xyz")), F.col(f"m{9 + i}")) for i in range(3)]
     depth = -cam[2]
     safe = F.greatest(depth, F.lit(1e-6))
-    drop = [f"m{i}" for i in range(12)] + ["position", "focal"]
+    drop = [f"m{i}" for i in range(12)] + ["focal"]
     return joined.withColumns(
         {
             "pu": cam[0] * F.col("focal") / safe + F.col("width") / 2.0,
@@ -69,7 +50,7 @@ def project(points: DataFrame, frames: DataFrame, max_depth: float | None = None
     ).drop(*drop)
 
 
-def _on_screen(proj: DataFrame, max_depth: float | None) -> DataFrame:
+def on_screen(proj: DataFrame, max_depth: float | None) -> DataFrame:
     ok = F.col("in_front") & (F.col("pu") >= 0) & (F.col("pu") < F.col("width")) & (F.col("pv") >= 0) & (F.col("pv") < F.col("height"))
     if max_depth is not None:
         ok = ok & (F.col("depth") < max_depth)
@@ -92,7 +73,7 @@ def depth_buffer(seen: DataFrame, splat: int = SPLAT) -> DataFrame:
 
 def visible(points: DataFrame, frames: DataFrame, tol_rel: float = TOL_REL, tol_abs: float = TOL_ABS, splat: int = SPLAT, max_depth: float = MAX_DEPTH) -> DataFrame:
     """Projected rows whose depth is within tolerance of the splatted z-buffer."""
-    seen = cut(_on_screen(project(points, frames, max_depth), max_depth))
+    seen = cut(on_screen(project(points, frames, max_depth), max_depth))
     near = depth_buffer(seen, splat)
     ok = F.col("depth") <= F.col("zmin") + F.greatest(F.lit(tol_abs), tol_rel * F.col("zmin"))
     return seen.join(near, PIX).filter(ok).drop("zmin", "in_front")
@@ -100,7 +81,7 @@ def visible(points: DataFrame, frames: DataFrame, tol_rel: float = TOL_REL, tol_
 
 def raster_render(points: DataFrame, frames: DataFrame, splat: int = SPLAT) -> DataFrame:
     """(frame_id, u, v, depth, r, g, b): nearest colour per covered pixel."""
-    seen = _on_screen(project(points, frames, None), None)
+    seen = on_screen(project(points, frames, None), None)
     best = seen.groupBy(*PIX, "width", "height").agg(F.min(F.struct("depth", "point_id", "r", "g", "b")).alias("w"))
     out = _spread(best, splat).groupBy(*PIX).agg(F.min("w").alias("w"))
     return out.select(*PIX, "w.depth", "w.r", "w.g", "w.b")
@@ -112,7 +93,7 @@ def points_in_mask(points: DataFrame, frames: DataFrame, mask: DataFrame, depth:
     ``depth`` lists filled pixels only.  Where the whole window is empty the
     point passes, as the computed comparison does; ``empty_accepts=False`` drops it.
     """
-    seen = _on_screen(project(points, frames, None), None)
+    seen = on_screen(project(points, frames, None), None)
     size = frames.select("frame_id", "width", "height")
     window = _spread(depth.join(small(size), "frame_id"), splat).groupBy(*PIX).agg(F.min("depth").alias("zmin"))
     hit = seen.join(mask.select(*PIX, "mask_id"), PIX).join(window, PIX, "left")
@@ -282,12 +263,41 @@ def query_hits(points: DataFrame, frames: DataFrame, masks: DataFrame, assign: s
     return hits, summary
 
 
+def first_come(hit: DataFrame, min_points: int) -> DataFrame:
+    """(keys, frame_id, mask_id): the owners that masks get when each in turn takes its free points, if ``min_points`` are.
+
+    ``hit`` = (keys, frame_id, mask_id, rank, score).  Masks are decided many at a time.  The points on which all earlier
+    masks failed are surely free: enough of them, and the mask stands.  The points that no standing mask comes before may
+    yet be free: too few of them, and it fails.  The earliest open mask always gets decided.  A point leaves as soon as
+    its first mask that has not failed stands, so that later rounds read open points only.  A mask counts with its
+    highest score; with ``min_points`` below one every mask stands.
+    """
+    mask = ["frame_id", "mask_id"]
+    best = cut(hit.groupBy(*mask).agg(F.max("score").alias("score")))
+    live = hit.select(*KEY, *mask, "rank").distinct().join(small(best), mask).withColumn("stands", F.lit(False))
+    ahead = Window.partitionBy(*KEY).orderBy("rank", F.desc("score"), F.desc("mask_id"), "frame_id").rowsBetween(Window.unboundedPreceding, -1)
+    owned = []
+    while True:
+        seen = live.withColumn("before", F.coalesce(F.max("stands").over(ahead), F.lit(False))).withColumn("first", F.count(F.lit(1)).over(ahead) == 0)
+        seen = cut(seen.filter(~F.col("before")).drop("before"))
+        # A point is settled once its first mask left stands; no other row of it is left then.
+        owned.append(seen.filter(F.col("first") & F.col("stands")).select(*KEY, *mask))
+        live = seen.filter(~(F.col("first") & F.col("stands")))
+        votes = cut(live.filter(~F.col("stands")).groupBy(*mask).agg(F.count_if("first").alias("sure"), F.count("*").alias("may")))
+        if is_empty(votes):
+            break
+        now = votes.select(*mask, (F.col("sure") >= min_points).alias("wins"), (F.col("may") < min_points).alias("fails"))
+        live = live.join(small(now), mask, "left").filter(~F.coalesce("fails", F.lit(False)))
+        live = live.withColumn("stands", F.col("stands") | F.coalesce("wins", F.lit(False))).drop("wins", "fails", "first")
+    return reduce(DataFrame.unionByName, owned)
+
+
 def masks_to_segments(points: DataFrame, frames: DataFrame, masks: DataFrame, min_points: int = 20, conflict: str = "latest"):
     """(keys, segment_id) and (segment_id, mask_id, n_points): one mask, one segment.
 
     ``frames`` carries ``rank`` (run time, frame order); ``masks`` = (frame_id, u,
     v, mask_id, score).  ``latest``: later and higher scores overwrite.  ``first``:
-    only free points count, so frames are folded in order.
+    in the order of ``rank``, then falling score and mask_id, a mask takes the points still free if they are enough.
     """
     vis = cut(visible(points, frames).select(*KEY, *PIX))
     hit = vis.join(masks, PIX).select(*KEY, "frame_id", "mask_id", "score").distinct()
@@ -298,18 +308,13 @@ def masks_to_segments(points: DataFrame, frames: DataFrame, masks: DataFrame, mi
         won = live.groupBy(*KEY).agg(F.max_by(F.struct("frame_id", "mask_id"), F.struct("rank", "score", "mask_id")).alias("w"))
         owner = won.select(*KEY, "w.*")
     else:
-        owner, order = None, hit.select("rank", "score", "frame_id", "mask_id").distinct().orderBy("rank", F.desc("score"), F.desc("mask_id")).collect()
-        for m in order:
-            mine = hit.filter((F.col("frame_id") == m.frame_id) & (F.col("mask_id") == m.mask_id)).select(*KEY, "frame_id", "mask_id")
-            if owner is not None:
-                mine = mine.join(owner.select(*KEY), KEY, "left_anti")
-            mine = cut(mine)
-            if mine.count() >= min_points:
-                owner = mine if owner is None else owner.unionByName(mine)
-        owner = hit.limit(0).select(*KEY, "frame_id", "mask_id") if owner is None else owner
+        owner = first_come(hit, min_points)
     sizes = owner.groupBy("frame_id", "mask_id").agg(F.count("*").alias("n_points"), F.lit(0).alias("_z"))
     info = sizes.join(small(hit.groupBy("frame_id", "mask_id").agg(F.min("rank").alias("rank"), F.min("score").alias("score"))), ["frame_id", "mask_id"])
-    seg = cut(info.withColumn("segment_id", F.row_number().over(Window.orderBy("rank", "score", "mask_id")) - 1))
+    # Numbered within a rank, after the masks of all lower ranks: only one row per rank is counted in one task.
+    ahead = info.groupBy("rank").count().select("rank", (F.sum("count").over(Window.orderBy("rank")) - F.col("count")).alias("_ahead"))
+    place = F.row_number().over(Window.partitionBy("rank").orderBy("score", "mask_id", "frame_id")) - 1 + F.col("_ahead")
+    seg = cut(info.join(small(ahead), "rank").withColumn("segment_id", place.cast("int")))
     return owner.join(small(seg), ["frame_id", "mask_id"]).select(*KEY, "segment_id"), seg.select("segment_id", "frame_id", "mask_id", "n_points")
 
 

@@ -109,11 +109,12 @@ def instances(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, folder: str) -> DataFrame:
-    """One camera per supplier below 8, on a circle around the cloud."""
-    return table(spark, folder, "supplier").filter("s_suppkey < 8").selectExpr(
+    """One camera per supplier, above its own patch of the cloud."""
+    at = table(spark, folder, "supplier").selectExpr("s_suppkey", "s_suppkey%10 + 0.537D AS tx", "(s_suppkey DIV 10)%10 + 0.537D AS tz")
+    return at.selectExpr(
         "CAST(s_suppkey AS INT) AS frame_id",
-        "array(5D + 20D*cos(s_suppkey*0.785398D), 1D + s_suppkey*0.5D, 5D + 20D*sin(s_suppkey*0.785398D)) AS position",
-        "array(5D, 0.5D, 5D) AS target", "60D AS fov", "160 AS width", "120 AS height",
+        "array(tx + 1.5D*cos(s_suppkey*0.785398D), 3D, tz + 1.5D*sin(s_suppkey*0.785398D)) AS position",
+        "array(tx, 0.5D, tz) AS target", "12D AS fov", "160 AS width", "120 AS height",
         "CAST(s_suppkey AS INT) AS rank", "CAST(s_suppkey%2 AS STRING) AS run_id", "CAST(s_suppkey AS INT) AS ord",
     )
 
@@ -127,7 +128,7 @@ def masks(spark: SparkSession, folder: str) -> DataFrame:
     px = px.withColumn("m", F.explode(F.array(F.lit(0), F.lit(1)))).filter("(u DIV 20 + v DIV 15 + m * (1 + frame_id)) % 2 = 0")
     return px.selectExpr(
         "frame_id", "u", "v", "frame_id * 2 + m AS mask_id", "1 + (frame_id + m) % 3 AS class_id",
-        "0.5D + 0.05D * frame_id + 0.01D * m AS score",
+        "0.5D + 0.0625D * (frame_id % 8) + 0.03125D * m AS score",
     )
 
 

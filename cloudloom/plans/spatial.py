@@ -345,21 +345,22 @@ def _(s, d):
 
 # ---- cameras -----------------------------------------------------------
 
-_FR = """f0 AS (SELECT CAST(s_suppkey AS INT) AS frame_id, 5+20*cos(s_suppkey*CAST(0.785398 AS DOUBLE)) px, 1+s_suppkey*CAST(0.5 AS DOUBLE) py, 5+20*sin(s_suppkey*CAST(0.785398 AS DOUBLE)) pz FROM supplier WHERE s_suppkey<8),
-f1 AS (SELECT *, sqrt((5-px)*(5-px)+(0.5-py)*(0.5-py)+(5-pz)*(5-pz))+1e-12 AS l FROM f0), f2 AS (SELECT *, (5-px)/l ux, (0.5-py)/l uy, (5-pz)/l uz FROM f1), f3 AS (SELECT *, sqrt(uz*uz+ux*ux)+1e-12 AS sl FROM f2),
+_FR = """f00 AS (SELECT s_suppkey, CAST(s_suppkey AS INT) AS frame_id, s_suppkey%10+CAST(0.537 AS DOUBLE) qx, CAST(0.5 AS DOUBLE) qy, (s_suppkey//10)%10+CAST(0.537 AS DOUBLE) qz FROM supplier),
+f0 AS (SELECT frame_id, qx, qy, qz, qx+1.5*cos(s_suppkey*CAST(0.785398 AS DOUBLE)) px, CAST(3 AS DOUBLE) py, qz+1.5*sin(s_suppkey*CAST(0.785398 AS DOUBLE)) pz FROM f00),
+f1 AS (SELECT *, sqrt((qx-px)*(qx-px)+(qy-py)*(qy-py)+(qz-pz)*(qz-pz))+1e-12 AS l FROM f0), f2 AS (SELECT *, (qx-px)/l ux, (qy-py)/l uy, (qz-pz)/l uz FROM f1), f3 AS (SELECT *, sqrt(uz*uz+ux*ux)+1e-12 AS sl FROM f2),
 f4 AS (SELECT *, -uz/sl AS sx, ux/sl AS sz FROM f3), f5 AS (SELECT *, -sz*uy AS tx, sz*ux-sx*uz AS ty, sx*uy AS tz FROM f4),
 q AS (SELECT frame_id, point_id, r, g, b, (x-px)*sx+(z-pz)*sz AS ca_, (x-px)*tx+(y-py)*ty+(z-pz)*tz AS cb_, (x-px)*ux+(y-py)*uy+(z-pz)*uz AS depth FROM li, f5),
-w AS (SELECT *, ca_*60/tan(radians(CAST(60 AS DOUBLE))/2)/greatest(depth,1e-6)+80 AS pu, -cb_*60/tan(radians(CAST(60 AS DOUBLE))/2)/greatest(depth,1e-6)+60 AS pv FROM q),
+w AS (SELECT *, ca_*60/tan(radians(CAST(12 AS DOUBLE))/2)/greatest(depth,1e-6)+80 AS pu, -cb_*60/tan(radians(CAST(12 AS DOUBLE))/2)/greatest(depth,1e-6)+60 AS pv FROM q),
 o AS (SELECT *, CAST(floor(pu) AS INT) AS u, CAST(floor(pv) AS INT) AS v FROM w WHERE depth>0.05 AND depth<80 AND pu>=0 AND pu<160 AND pv>=0 AND pv<120)"""
 _Z = """zp AS (SELECT frame_id, u, v, min(depth) AS zm FROM o GROUP BY 1,2,3), zs AS (SELECT frame_id, greatest(0,least(159,u+du)) AS u, greatest(0,least(119,v+dv)) AS v, min(zm) AS zm FROM zp, (SELECT unnest([-2,-1,0,1,2]) AS du), (SELECT unnest([-2,-1,0,1,2]) AS dv) GROUP BY 1,2,3),
 vis AS (SELECT o.* FROM o JOIN zs ON o.frame_id=zs.frame_id AND o.u=zs.u AND o.v=zs.v WHERE depth <= zm+greatest(0.15,0.01*zm))"""
-_MASK = """mk AS (SELECT frame_id, m, 1+(frame_id+m)%3 AS class_id, CAST(0.5 AS DOUBLE)+CAST(0.05 AS DOUBLE)*frame_id+CAST(0.01 AS DOUBLE)*m AS score FROM f0, (SELECT unnest([0,1]) AS m)),
+_MASK = """mk AS (SELECT frame_id, m, 1+(frame_id+m)%3 AS class_id, CAST(0.5 AS DOUBLE)+CAST(0.0625 AS DOUBLE)*(frame_id%8)+CAST(0.03125 AS DOUBLE)*m AS score FROM f0, (SELECT unnest([0,1]) AS m)),
 hit AS (SELECT vis.*, m, class_id, score FROM vis JOIN mk ON vis.frame_id=mk.frame_id WHERE (vis.u//20+vis.v//15+m*(1+vis.frame_id))%2=0)"""
 
 
-@query("cam1_project", f"WITH {_FR} SELECT frame_id, point_id, round(pu,4) AS pu, round(pv,4) AS pv, round(depth,4) AS depth FROM w", "li")
+@query("cam1_project", f"WITH {_FR} SELECT frame_id, point_id, round(pu,4) AS pu, round(pv,4) AS pv, round(depth,4) AS depth FROM o", "li")
 def _(s, d):
-    out = fu.project(ad.points(s, d), ad.frames(s, d))
+    out = fu.on_screen(fu.project(ad.points(s, d), ad.frames(s, d)), None)
     return out.select("frame_id", "point_id", *[R(c, 4).alias(c) for c in ("pu", "pv", "depth")])
 
 
@@ -377,7 +378,7 @@ def _(s, d):
 def _(s, d):
     """The cloud's own depth image is the reference buffer, so the window test equals visibility."""
     pts, fr = ad.points(s, d, "r", "g", "b"), ad.frames(s, d)
-    depth = cut(fu._on_screen(fu.project(pts, fr, None), None).groupBy("frame_id", "u", "v").agg(F.min("depth").alias("depth")))
+    depth = cut(fu.on_screen(fu.project(pts, fr, None), None).groupBy("frame_id", "u", "v").agg(F.min("depth").alias("depth")))
     return fu.points_in_mask(pts, fr, ad.masks(s, d), depth).select("frame_id", "point_id", "mask_id")
 
 
@@ -429,20 +430,30 @@ def _(s, d):
     return fu.masks_to_segments(ad.points(s, d), ad.frames(s, d), ad.masks(s, d))[1].select("mask_id", "n_points")
 
 
+@query("cam11_masks_to_segments_first", f"""WITH RECURSIVE {_FR}, {_Z}, {_MASK}, mks AS (SELECT frame_id, m, max(score) AS score, list(DISTINCT point_id) AS pts FROM hit GROUP BY 1,2),
+od AS (SELECT *, row_number() OVER (ORDER BY frame_id, score DESC, m DESC) AS k FROM mks),
+fo AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST(0 AS BIGINT) AS got
+ UNION ALL SELECT k, CASE WHEN len(free)>=20 THEN list_concat(taken, free) ELSE taken END, CASE WHEN len(free)>=20 THEN len(free) ELSE 0 END
+ FROM (SELECT od.k, taken, list_filter(pts, lambda p: NOT list_contains(busy, p)) AS free FROM (SELECT od.k, taken, pts, list_intersect(pts, taken) AS busy FROM fo JOIN od ON od.k=fo.k+1) od) x)
+SELECT CAST(frame_id*2+m AS INT) AS mask_id, got AS n_points FROM fo JOIN od USING (k) WHERE got>0""", "li")
+def _(s, d):
+    return fu.masks_to_segments(ad.points(s, d), ad.frames(s, d), ad.masks(s, d), conflict="first")[1].select("mask_id", "n_points")
+
+
 @query("cam12_auto_instances", f"WITH {_FR}, {_Z}, {_MASK} SELECT count(DISTINCT point_id) AS n FROM hit", "li")
 def _(s, d):
     return fu.auto_instances(ad.points(s, d), ad.frames(s, d), ad.masks(s, d)).filter("mask_id >= 0").agg(F.count("*").alias("n"))
 
 
-@query("cam13_project_masks", f"WITH {_FR}, {_Z}, {_MASK} SELECT point_id, CAST(frame_id*2+m AS INT) AS mask_id FROM hit WHERE frame_id*2+m IN (1,4)", "li")
+@query("cam13_project_masks", f"WITH {_FR}, {_Z}, {_MASK} SELECT point_id, CAST(frame_id*2+m AS INT) AS mask_id FROM hit WHERE m=1 AND frame_id%2=0", "li")
 def _(s, d):
     pts, fr = ad.points(s, d), ad.frames(s, d)
-    depth = cut(fu._on_screen(fu.project(pts, fr, None), None).groupBy("frame_id", "u", "v").agg(F.min("depth").alias("depth")))
-    accepted = s.createDataFrame([(1,), (4,)], "mask_id int")
-    return fu.project_masks(pts, fr, ad.masks(s, d), depth, accepted, 16, "fp", "fp").select("point_id", "mask_id")
+    depth = cut(fu.on_screen(fu.project(pts, fr, None), None).groupBy("frame_id", "u", "v").agg(F.min("depth").alias("depth")))
+    accepted = fr.filter("frame_id%2 = 0").selectExpr("frame_id*2 + 1 AS mask_id")
+    return fu.project_masks(pts, fr, ad.masks(s, d), depth, accepted, 2 * fr.count() + 2, "fp", "fp").select("point_id", "mask_id")
 
 
-@query("cam14_camera_to_native", "SELECT CAST(s_suppkey AS INT) AS frame_id, round(5+20*cos(s_suppkey*0.785398)+1+100,4) AS nx, round(-(5+20*sin(s_suppkey*0.785398)+3)+200,4) AS ny, round(1+s_suppkey*0.5+2+300,4)::DOUBLE AS nz FROM supplier WHERE s_suppkey<8")
+@query("cam14_camera_to_native", f"WITH {_FR} SELECT frame_id, round(px+1+100,4) AS nx, round(-(pz+3)+200,4) AS ny, round(py+2+300,4) AS nz FROM f0", "li")
 def _(s, d):
     from ..functions.frames import camera_to_native
 

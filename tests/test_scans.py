@@ -57,7 +57,7 @@ def test_projection_has_no_range_unless_asked(spark):
     cloud = spark.createDataFrame([("s", i, *map(float, p)) for i, p in enumerate(rnd)], points.schema)
     wide = frames.selectExpr("frame_id", "array(3D, 4D, 5D) AS position", "array(10D, 1D, -8D) AS target", "100D AS fov", "160 AS width", "90 AS height")
     ids = lambda df: sorted(r.point_id for r in df.select("point_id").collect())
-    assert ids(fu._on_screen(fu.project(cloud, wide, 80.0), 80.0)) == ids(fu._on_screen(fu.project(cloud, wide), 80.0)) != []
+    assert ids(fu.on_screen(fu.project(cloud, wide, 80.0), 80.0)) == ids(fu.on_screen(fu.project(cloud, wide), 80.0)) != []
 
 
 class _Value:
