@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import exact_quantiles
 from ..schema import CATEGORIES, UNSET
 from ..session import small
 from .frames import col
@@ -163,10 +164,9 @@ def cache_key(*parts) -> Column:
 
 def query_intensity(values: DataFrame, value: str, pct: float = 95.0) -> DataFrame:
     """Adds norm: value / percentile of the positive values, clipped to [0, 1]."""
-    cap = values.filter(F.col(value) > 0).groupBy("query").agg(
-        F.percentile(value, F.lit(pct / 100.0)).alias("cap")
-    )
-    out = values.join(small(cap), "query", "left")
+    cap = exact_quantiles(values.filter(F.col(value) > 0), ["query"], value, [pct / 100.0])
+    cap = cap.select(F.col("query").alias("_query"), F.col("quantile").alias("cap"))
+    out = values.join(small(cap), F.col("query").eqNullSafe(F.col("_query")), "left").drop("_query")
     ratio = F.when(F.col("cap") > 0, F.col(value) / F.col("cap")).otherwise(F.lit(0.0))
     return out.withColumn("norm", F.least(F.lit(1.0), F.greatest(F.lit(0.0), ratio))).drop("cap")
 

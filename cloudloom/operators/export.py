@@ -10,6 +10,7 @@ from ..functions.shapes import in_obb, in_prism, segment_d2
 from ..schema import LOA_REST, UNSET, seg_key, REVIEW
 from ..session import cut, small
 from .containment import points_in_boxes, points_in_prisms, points_in_tubes
+from .quantiles import exact_quantiles
 from .sampling import chunk_reservoir, random_sample
 from .spatial import knn, nearest_neighbor
 
@@ -195,17 +196,13 @@ def replay_labels(targets: DataFrame, scan: DataFrame, labels: DataFrame, boxes:
     )
 
 
-def sample_spacing(points: DataFrame, sample: int = 100_000, seed: int = 0) -> DataFrame:
-    """One row (p50, p90) of nearest other-point distances of a sample against all points."""
+def sample_spacing(points: DataFrame, sample: int | None = None, seed: int = 0) -> DataFrame:
+    """One row (p50, p90) of nearest other-point distances of all points, or of a sample of them, against all points."""
     points = cut(points.select("scan_id", "point_id", "x", "y", "z"))
-    n = points.count()
-    if n < 2:
-        return points.sparkSession.range(1).select(F.lit(0.0).alias("p50"), F.lit(0.0).alias("p90"))
-    query = points if n <= sample else cut(random_sample(points, sample, seed))
+    query = points if sample is None else cut(random_sample(points, sample, seed))
     near = knn(query, points, 1)
-    return near.agg(F.percentile("distance", F.array(F.lit(0.5), F.lit(0.9))).alias("p")).select(
-        F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90")
-    )
+    got = exact_quantiles(near, [], "distance", [0.5, 0.9])
+    return got.agg(*[F.coalesce(F.max(F.when(F.col("p") == p, F.col("quantile"))), F.lit(0.0)).alias(n) for p, n in ((0.5, "p50"), (0.9, "p90"))])
 
 
 def accuracy_report(points: DataFrame, is_raw: bool = False, **reservoir) -> DataFrame:
@@ -240,10 +237,12 @@ def measure_regions(regions: DataFrame, raw: DataFrame | None, scan: DataFrame,
     else:
         held = points_in_prisms(raw, regions).join(raw.select(*KEY, "x", "y", "z"), KEY)
         held = cut(held.select(F.concat_ws("/", "scan_id", "shape_id").alias("scan_id"), "point_id", "x", "y", "z", F.col("shape_id").alias("id")))
-        near = knn(held.drop("id"), held.drop("id"), 1).select(*KEY, "distance")
-        spacing = held.select(*KEY, "id").join(near, KEY, "left").groupBy("id").agg(
-            F.count("*").alias("n_points"), F.percentile("distance", F.array(F.lit(0.5), F.lit(0.9))).alias("p")
-        ).select("id", "n_points", F.coalesce(F.col("p")[0], F.lit(0.0)).alias("p50"), F.coalesce(F.col("p")[1], F.lit(0.0)).alias("p90"))
+        near = cut(knn(held.drop("id"), held.drop("id"), 1).select(*KEY, "distance").join(held.select(*KEY, "id"), KEY))
+        spread = exact_quantiles(near, ["id"], "distance", [0.5, 0.9]).groupBy("id").agg(
+            *[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n) for p, n in ((0.5, "p50"), (0.9, "p90"))]
+        )
+        spacing = held.groupBy("id").agg(F.count("*").alias("n_points")).join(small(spread), "id", "left")
+        spacing = spacing.select("id", "n_points", F.coalesce("p50", F.lit(0.0)).alias("p50"), F.coalesce("p90", F.lit(0.0)).alias("p90"))
     inside = points_in_prisms(scan, regions).join(labels.select(*KEY, "category"), KEY)
     marks = inside.groupBy(F.col("shape_id").alias("id")).agg(F.count_if(F.col("category") == REVIEW).alias("n_review"), F.count("*").alias("n_session"))
     zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
