@@ -124,13 +124,18 @@ sp AS (SELECT rank, CAST(ceil(source_size / block) AS BIGINT) AS n_blocks, coale
 sl AS (SELECT i, i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS u FROM b, unnest(range(n)) AS r(i)),
 rk AS (SELECT rank, n_blocks, row_number() OVER (PARTITION BY rank ORDER BY i) - 1 AS turn FROM sl ASOF JOIN sp ON sl.u >= sp.lo),
 sc AS (SELECT rank, turn % n_blocks AS block_no, count(*) AS times FROM rk WHERE turn < 2 * n_blocks GROUP BY ALL),
-pl AS (SELECT rid, doc_id, size, sz.source, rank, source_size, target, coalesce(sum(size) OVER (PARTITION BY rank
+tu AS (SELECT rank, sum(times) AS turns FROM sc GROUP BY rank),
+rm AS (SELECT s.*, CAST(floor(target + 0.5) AS BIGINT) AS due, greatest(1, CAST(ceil(source_size / block) AS BIGINT)) AS nb, CAST(coalesce(turns, 0) AS BIGINT) AS turns FROM s CROSS JOIN b LEFT JOIN tu USING (rank)),
+re AS (SELECT *, turns // nb * source_size + least(turns % nb * block, source_size) AS reach FROM rm CROSS JOIN b),
+pl AS (SELECT rid, doc_id, size, sz.source, rank, source_size, target, due, reach, coalesce(sum(size) OVER (PARTITION BY rank
   ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), size, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM sz JOIN s ON sz.source IS NOT DISTINCT FROM s.source),
+  FROM sz JOIN re s ON sz.source IS NOT DISTINCT FROM s.source),
 pc AS (SELECT rid, rank, k AS block_no, least(start + size, (k + 1) * block) - greatest(start, k * block) AS words
   FROM pl, b, unnest(range(CAST(start // block AS BIGINT), CAST((start + size - 1) // block AS BIGINT) + 1)) AS r(k) WHERE size > 0),
 tk AS (SELECT rid, sum(times * words) AS taken FROM pc JOIN sc USING (rank, block_no) GROUP BY rid)
-SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, source FROM pl LEFT JOIN tk USING (rid)""")
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE CAST(coalesce(taken, 0)
+  + due // source_size * size + greatest(0, least(size, due % source_size - start))
+  - reach // source_size * size - greatest(0, least(size, reach % source_size - start)) AS BIGINT) END AS taken, source FROM pl LEFT JOIN tk USING (rid)""")
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(read(spark, folder, "documents"))
 

@@ -3,6 +3,8 @@
 The documents of a source lie one after the other, in shuffled order, on an axis of words that is cut into equal blocks.
 The schedule has one slot per block of the mix: slot i is the golden-ratio point frac(i * 0.618...), which falls into the
 interval of one source on the cumulated target shares.  The r-th slot of a source takes its block r modulo its blocks.
+What the slots of a source leave below or above its target is taken or given back where they end on the axis, so every
+source gets its target to the word, also one that is smaller than a slot.
 Running sums are taken in two steps, over cells and within cells, so that no task holds a whole source.
 """
 
@@ -66,6 +68,26 @@ def schedule(sources: DataFrame, block: int, total: float) -> DataFrame:
     return ranked.groupBy("rank", (F.col("turn") % F.col("n_blocks")).alias("block")).agg(F.count(F.lit(1)).alias("times"))
 
 
+def with_remainders(sources: DataFrame, plan: DataFrame, block: int) -> DataFrame:
+    """Adds reach and due: the words of its wrapped axis that a source's slots cover, and those that its target asks for.
+
+    Slots are dealt in turn, so they cover the axis from its start on.  What lies between reach and due is the remainder
+    of the source, less than a few blocks: all of the target where a source is smaller than a slot.
+    """
+    turns = plan.groupBy("rank").agg(F.sum("times").alias("turns"))
+    blocks = F.greatest(F.ceil(F.col("source_size") / block), F.lit(1))
+    turns_ = F.coalesce("turns", F.lit(0))
+    reach = F.floor(turns_ / blocks) * F.col("source_size") + F.least(turns_ % blocks * block, F.col("source_size"))
+    due = F.floor(F.col("target") + 0.5).cast("long")
+    return sources.join(turns, "rank", "left").withColumns({"reach": reach.cast("long"), "due": due}).drop("turns")
+
+
+def _words_before(end: str) -> Column:
+    """Words of the document at ``at`` before a place on its source's wrapped axis."""
+    rounds = F.floor(F.col(end) / F.col("source_size"))
+    return rounds * F.col("size") + F.greatest(F.lit(0), F.least("size", F.col(end) - rounds * F.col("source_size") - F.col("at")))
+
+
 def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source) per row of ``docs``.
 
@@ -83,13 +105,16 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataF
     n = rows.count()
     while 16**digits * CELL_ROWS < n:
         digits += 1
-    placed = rows.join(F.broadcast(sources) if top[1] <= CELL_ROWS else sources, rows.source.eqNullSafe(sources.source)).select("doc_id", rows.source, "size", "rank", "source_size", "target")
+    plan = cut(schedule(sources, block, top[0]))
+    sources = cut(with_remainders(sources, plan, block))
+    placed = rows.join(F.broadcast(sources) if top[1] <= CELL_ROWS else sources, rows.source.eqNullSafe(sources.source)).select("doc_id", rows.source, "size", "rank", "source_size", "target", "reach", "due")
     placed = placed.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).withColumn("cell", F.substring("h", 1, digits))
     placed = running(placed, "rank", "cell", ["h", "size"], F.col("size"), "at")
-    row = ["doc_id", "source", "size", "rank", "source_size", "target", "at"]
+    row = ["doc_id", "source", "size", "rank", "source_size", "target", "reach", "due", "at"]
     pieces = placed.filter("size > 0").select(*row, F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
     pieces = pieces.withColumn("words", F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block))
-    taken = pieces.join(schedule(sources, block, top[0]), ["rank", "block"], "left").groupBy(*row).agg(F.sum(F.coalesce("times", F.lit(0)) * F.col("words")).alias("taken"))
+    taken = pieces.join(plan, ["rank", "block"], "left").groupBy(*row).agg(F.sum(F.coalesce("times", F.lit(0)) * F.col("words")).alias("taken"))
+    taken = taken.withColumn("taken", F.col("taken") + _words_before("due") - _words_before("reach"))
     none = placed.filter("size = 0").select(*row, F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(none).select("doc_id", "size", "source_size", "target", "taken", "source")
 
