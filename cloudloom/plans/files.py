@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.export import label_manifest
 from ..session import shared_folder
 from ..sources import documents as doc
 from ..sources import fixedwidth, sinks
@@ -24,6 +25,11 @@ def _folder(s) -> str:
     return f"{shared_folder(s).removeprefix('file://').removeprefix('file:')}/files-{uuid.uuid4().hex}"
 
 
+def _uri(s) -> str:
+    """A new folder in the shared folder, whatever file system that is on."""
+    return f"{shared_folder(s)}/files-{uuid.uuid4().hex}"
+
+
 def _made(path: str) -> str:
     import os
 
@@ -137,3 +143,32 @@ def _(s, d):
     scans = orders.selectExpr("CAST(o_custkey AS STRING) AS scan_id", "'v0' AS variant_id").distinct()
     runs = orders.selectExpr("CAST(o_custkey AS STRING) AS scan_id", "concat('v', o_orderkey % 4) AS source_variant", "CAST(o_orderkey AS INT) AS ord")
     return doc.variants_index(scans, runs).select("scan_id", F.array_join(F.transform("variants", lambda v: v["variant_id"]), ",").alias("variants"))
+
+
+_CONF = "(intensity/CAST(80 AS DOUBLE))"
+_FADE = lambda c: f"CAST(floor(coalesce(p{c},60)*{_CONF}+60*(1-{_CONF})) AS INT) AS {c}"
+
+
+@query("snk3_colored_ply", f"WITH pal AS (SELECT n_nationkey AS k, n_nationkey*10 AS pr, 255-n_nationkey*5 AS pg, n_regionkey*50 AS pb FROM nation) SELECT row_number() OVER (ORDER BY point_id)-1 AS point_id, ia<0 AS grey, {_FADE('r')}, {_FADE('g')}, {_FADE('b')} FROM li LEFT JOIN pal ON k=ca", "li")
+def _(s, d):
+    """Instance colours and faded class colours, each written and read back; no hashed colour is grey."""
+    base = _uri(s)
+    points, labels = ad.points(s, d, "intensity"), ad.labels(s, d)
+    sinks.write_colored_ply(points, labels, f"{base}/instances")
+    palette = ad.table(s, d, "nation").selectExpr("n_nationkey AS class_id", "n_nationkey*10 AS r", "255-n_nationkey*5 AS g", "n_regionkey*50 AS b")
+    sure = points.withColumn("confidence", F.col("intensity") / 80).join(labels.select("scan_id", "point_id", "class_id"), ["scan_id", "point_id"])
+    sinks.write_parts(sinks.class_colors(sure, palette).select("scan_id", "point_id", *"xyz", *"rgb"), f"{base}/classes")
+    seen = s.read.format("ply").load(f"{base}/instances").select("scan_id", "point_id", ((F.col("r") == 60) & (F.col("g") == 60) & (F.col("b") == 60)).alias("grey"))
+    return s.read.format("ply").load(f"{base}/classes").join(seen, ["scan_id", "point_id"]).select("point_id", "grey", *"rgb")
+
+
+@query("snk5_export_bundle", "SELECT row_number() OVER (ORDER BY point_id)-1 AS point_id, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, b, ca AS class_id, ia AS instance_id, CAST(count(*) OVER (PARTITION BY ca) AS DOUBLE) AS class_total FROM li", "li")
+def _(s, d):
+    """Points read back from the bundle with the number of points that its manifest gives for their class."""
+    base = _uri(s)
+    labels = ad.labels(s, d).select("scan_id", "point_id", "class_id", "instance_id", "category")
+    none = labels.select("scan_id", "point_id", F.lit("").alias("shape_id")).limit(0)
+    sinks.export_bundle(ad.points(s, d, *"rgb"), labels, label_manifest(labels, none, {}), base)
+    said = s.read.schema("section string, key string, value double").json(f"{base}/manifest").filter("section = 'class'")
+    said = said.select(F.col("key").cast("int").alias("class_id"), F.col("value").alias("class_total"))
+    return s.read.format("ply").load(f"{base}/points").join(said, "class_id", "left").select("point_id", "x", "b", "class_id", "instance_id", "class_total")

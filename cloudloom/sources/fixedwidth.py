@@ -19,6 +19,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .plyparts import ROWS_PER_FILE, PlyPartsWriter, listed, place
+
 ROWS_PER_SPLIT = 2_000_000
 ROWS_PER_BATCH = 100_000
 
@@ -40,6 +42,8 @@ class Layout:
     count: int
     scale: tuple = (1.0, 1.0, 1.0)
     offset: tuple = (0.0, 0.0, 0.0)
+    scan: str | None = None
+    first: int = 0
 
 
 @dataclass
@@ -51,12 +55,12 @@ class Run(InputPartition):
 
 
 def _open(path: str):
-    fs, name = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    fs, name = place(path)
     return fs.open_input_file(name)
 
 
 def _list(path: str, suffix: str) -> list[str]:
-    fs, name = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    fs, name = place(path)
     info = fs.get_file_info(name)
     if info.type != pafs.FileType.Directory:
         return [path]
@@ -152,7 +156,7 @@ class _Reader(DataSourceReader):
     def partitions(self):
         out = []
         for lay in self.layouts:
-            name = self.scan or os.path.splitext(os.path.basename(lay.path))[0]
+            name = self.scan or (os.path.splitext(os.path.basename(lay.path))[0] if lay.scan is None else lay.scan)
             for start in range(0, lay.count, self.rows):
                 out.append(Run(lay, name, start, min(self.rows, lay.count - start)))
         return out or [Run(Layout("", 0, np.dtype("u1"), 0), "", 0, 0)]
@@ -174,7 +178,7 @@ class _Reader(DataSourceReader):
                 rec = np.frombuffer(raw, dtype=lay.dtype)
                 cols = self.columns(lay, rec)
                 cols["scan_id"] = pa.array([part.scan_id] * n)
-                cols["point_id"] = np.arange(at, at + n, dtype=np.int64)
+                cols["point_id"] = np.arange(lay.first + at, lay.first + at + n, dtype=np.int64)
                 arrays = []
                 for field in schema:
                     value = cols.get(field.name)
@@ -229,7 +233,26 @@ class PlySource(_Source):
         return "ply"
 
     def layouts(self):
-        return [ply_layout(p) for p in _list(self.options["path"], ".ply")]
+        path = self.options["path"]
+        parts = listed(path)
+        if parts is None:
+            return [ply_layout(p) for p in _list(path, ".ply")]
+        return list(_seated(path, parts))
+
+    def writer(self, schema, overwrite):
+        return PlyPartsWriter(self.options["path"], schema, overwrite, int(self.options.get("rowsPerFile", ROWS_PER_FILE)))
+
+
+def _seated(folder: str, parts: list[dict]):
+    """Layouts of a written folder; records are numbered per scan over its files in order."""
+    before: dict[str, int] = {}
+    for part in parts:
+        lay = ply_layout(os.path.join(folder, part["file"]))
+        if lay.count != part["rows"]:
+            raise ValueError(f"{lay.path}: {lay.count} records, {part['rows']} in the index")
+        lay.scan, lay.first = part["scan"], before.get(part["scan"], 0)
+        before[part["scan"]] = lay.first + lay.count
+        yield lay
 
 
 class LasSource(_Source):

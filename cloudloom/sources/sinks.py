@@ -76,17 +76,44 @@ def write_ply(df: DataFrame, path: str, extra: tuple[tuple[str, str], ...] = ())
     return write_records(df, path, np.dtype(fields), head)
 
 
-def write_labeled_ply(points: DataFrame, labels: DataFrame, path: str) -> int:
-    """xyz, rgb (zeros when absent), class_id and instance_id."""
+def write_parts(df: DataFrame, path: str, append: bool = False) -> int:
+    """A folder of whole PLY files with an index, on any file system, in (scan_id, point_id) order; returns the count.
+
+    ``plyparts`` says what becomes of the columns.  Many scans may be written at once; each file holds one.
+    """
+    from . import fixedwidth
+    from .plyparts import listed
+
+    fixedwidth.register(df.sparkSession)
+    order = ["scan_id", "point_id"]
+    had = sum(e["rows"] for e in listed(path) or []) if append else 0
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.format("ply").mode("append" if append else "overwrite").save(path)
+    return sum(e["rows"] for e in listed(path)) - had
+
+
+def labeled_rows(points: DataFrame, labels: DataFrame) -> DataFrame:
+    """Points with xyz, rgb (zeros when absent), class_id and instance_id."""
     rgb = {c: F.coalesce(F.col(c), F.lit(0)) if c in points.columns else F.lit(0) for c in "rgb"}
     rows = points.withColumns(rgb).join(labels.select("scan_id", "point_id", "class_id", "instance_id"), ["scan_id", "point_id"])
-    return write_ply(rows, path, (("class_id", "int"), ("instance_id", "int")))
+    return rows.select("scan_id", "point_id", "x", "y", "z", *"rgb", "class_id", "instance_id")
 
 
-def write_colored_ply(points: DataFrame, ids: DataFrame, path: str) -> int:
+def write_labeled_ply(points: DataFrame, labels: DataFrame, path: str) -> int:
+    """xyz, rgb (zeros when absent), class_id and instance_id in one file."""
+    return write_ply(labeled_rows(points, labels), path, (("class_id", "int"), ("instance_id", "int")))
+
+
+def colored_rows(points: DataFrame, ids: DataFrame) -> DataFrame:
     """Points coloured by a hash of their instance; unassigned ones grey."""
-    rows = points.select("scan_id", "point_id", "x", "y", "z").join(ids, ["scan_id", "point_id"])
-    return write_ply(rows.withColumns(instance_color("instance_id")), path)
+    rows = points.select("scan_id", "point_id", "x", "y", "z").join(ids.select("scan_id", "point_id", "instance_id"), ["scan_id", "point_id"])
+    colour = {c: v.cast("int") for c, v in instance_color("instance_id").items()}
+    return rows.withColumns(colour).select("scan_id", "point_id", "x", "y", "z", *"rgb")
+
+
+def write_colored_ply(points: DataFrame, ids: DataFrame, path: str) -> int:
+    """``colored_rows`` as a folder of PLY files."""
+    return write_parts(colored_rows(points, ids), path)
 
 
 def class_colors(points: DataFrame, palette: DataFrame) -> DataFrame:
@@ -271,10 +298,12 @@ def scaffold_scan(raw: DataFrame, target: int) -> tuple[DataFrame, DataFrame]:
 
 
 def export_bundle(points: DataFrame, labels: DataFrame, manifest: DataFrame, path: str, hulls: DataFrame | None = None) -> int:
-    """Labelled PLY plus a manifest file, and hull meshes where given."""
-    os.makedirs(path, exist_ok=True)
-    n = write_labeled_ply(points, labels, f"{path}/points.ply")
-    manifest.coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    """Labelled points as a folder of PLY files, a manifest and, where given, hull meshes; returns the number of points.
+
+    The manifest is written last: a bundle without one is not complete.  Any file system will do.
+    """
+    n = write_parts(labeled_rows(points, labels), f"{path}/points")
     if hulls is not None:
         hulls.write.mode("overwrite").parquet(f"{path}/hulls")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
     return n
