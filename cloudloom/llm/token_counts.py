@@ -8,6 +8,7 @@ ASCII letter or digit, since every digit is a token of its own.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 
@@ -26,6 +27,41 @@ MEMORY, MEMORY_WORD = 500_000, 64
 DIGIT = re.compile(rb"(?<=[0-9A-Za-z])(?=[0-9])")
 
 
+def check_cuts(definition: str) -> None:
+    """Raise unless texts may be cut at ASCII white space and long words before ASCII digits, as ``Counter`` does.
+
+    Asked of the file: its normalizer works character by character or on white space alone, its first splitter drops all
+    that its pattern does not take, the pattern takes no ASCII white space and no digit together with a letter or digit
+    before it, and no added token holds white space or a digit.  Two-character probes decide on the pattern.
+    """
+    import regex
+
+    def fail(what: str):
+        raise ValueError(f"tokens cannot be counted word by word: {what}")
+
+    spec = json.loads(definition)
+    steps = lambda part, name: [] if part is None else part[name] if part["type"] == "Sequence" else [part]
+    for step in steps(spec.get("normalizer"), "normalizers"):
+        squeezes = step["type"] == "Replace" and step["pattern"] == {"Regex": r"\s+"} and step["content"] == " "
+        if step["type"] not in ("NFC", "Lowercase") and not squeezes:
+            fail(f"normalizer {step['type']}")
+    first = (steps(spec.get("pre_tokenizer"), "pretokenizers") or [{"type": "none"}])[0]
+    if (first["type"], first.get("behavior"), first.get("invert")) != ("Split", "Removed", True) or "Regex" not in first["pattern"]:
+        fail(f"splitter {first['type']} keeps white space")
+    pattern = regex.compile(first["pattern"]["Regex"])
+    spaces, digits = " \t\n\v\f\r", "0123456789"
+    marks = [chr(c) for c in range(33, 127)] + ["é", "٣", "漢", "€"]
+    for mark in marks:
+        for space in spaces:
+            if any(c in spaces for pair in (mark + space, space + mark) for found in pattern.finditer(pair) for c in found.group()):
+                fail("the pattern takes white space")
+        for digit in digits if mark.isalnum() and mark.isascii() else ():
+            if any(found.group() == mark + digit for found in pattern.finditer(mark + digit)):
+                fail("the pattern takes a digit with what is before it")
+    if spec["model"].get("type") != "BPE" or any(c in spaces + digits for t in spec.get("added_tokens", ()) for c in t["content"]):
+        fail("model or added tokens")
+
+
 class Counter:
     """Counts tokens with a tokenizer given as the JSON text of its file."""
 
@@ -95,10 +131,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     Special tokens are not added; their strings inside a text count as the library's default has it.  A null or empty
     text has no tokens.  A null doc_id is returned as null; repeated rows are returned as often as they come; other
-    columns are not read; an empty table gives no rows.  The tokenizer must drop white space (a word model).
+    columns are not read; an empty table gives no rows.  A tokenizer that ``check_cuts`` refuses is an error.
     """
     with open(path, encoding="utf-8") as f:
-        definition = docs.sparkSession.sparkContext.broadcast(f.read())
+        text = f.read()
+    check_cuts(text)
+    definition = docs.sparkSession.sparkContext.broadcast(text)
 
     def run(batches):
         counter = counter_of(definition.value)

@@ -20,6 +20,8 @@ from ..session import cut, small
 BAD = "!bad"
 #: (host, path, verdict) of the contract's list.
 LISTED = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+#: Frequent tokens of a basket up to which FP-growth takes it whole.
+WIDE = 12
 #: Mined rules that may be broadcast.
 RULES = 20_000
 
@@ -52,19 +54,61 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(words, parts, names), lambda t: F.length(t) > 2))
 
 
+def group_sets(groups: Column, most: int) -> Column:
+    """All subsets of 1 to ``most`` members of a sorted array of distinct integers, each sorted."""
+    level = every = F.transform(groups, lambda g: F.array(g))
+    for _ in range(most - 1):
+        level = F.flatten(F.transform(level, lambda s: F.transform(F.filter(groups, lambda g: g > F.element_at(s, -1)), lambda g: F.array_append(s, g))))
+        every = F.concat(every, level)
+    return every
+
+
+def short_baskets(baskets: DataFrame, max_tokens: int) -> tuple[DataFrame, int]:
+    """(baskets (tag, items, bad) of few items, number of groups) that keep the support of every combination of at most ``max_tokens`` tokens.
+
+    FP-growth knows no greatest length, so a url of many frequent tokens would yield all its subsets.  When some basket has
+    more than ``WIDE``, tokens fall into as many groups as that basket has tokens, and each basket is replaced by one
+    for every set of at most ``max_tokens`` groups it has tokens in, holding those tokens.  A combination is counted
+    where the set is that of its own groups, once for each basket that holds it.  Otherwise there is one group.
+    """
+    longest = baskets.agg(F.coalesce(F.max(F.size("items")), F.lit(0))).first()[0]
+    count = longest if longest > WIDE else 1
+    put = F.transform("items", lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(count)).cast("int").alias("g"), t.alias("t")))
+    put = baskets.select(put.alias("put"), "bad").withColumn("groups", F.array_sort(F.array_distinct("put.g")))
+    each = put.select("put", "bad", F.explode(group_sets(F.col("groups"), max_tokens if count > 1 else 1)).alias("set"))
+    held = F.transform(F.filter("put", lambda e: F.array_contains("set", e["g"])), lambda e: e["t"])
+    return each.select(F.array_join("set", ".").alias("tag"), held.alias("items"), "bad"), count
+
+
 def mine_rules(labelled: DataFrame, min_support: float, min_count: int, min_confidence: float, max_tokens: int) -> DataFrame:
-    """(items, anchor, n, confidence) from (url, bad); items: the tokens of a combination that is mostly bad."""
-    baskets = labelled.select(tokens(F.col("url")).alias("items"), "bad").filter(F.size("items") > 0)
-    baskets = cut(baskets.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")))
-    n = baskets.count()
+    """(items, anchor, n, confidence) from (url, bad); items: the tokens of a combination that is mostly bad.
+
+    Only tokens that are often enough in bad urls can be part of a rule; the others leave before mining.  The work grows
+    with the number of combinations of up to ``max_tokens`` tokens, not with all subsets of a url's tokens.
+    """
+    spark = labelled.sparkSession
     schema = "items array<string>, anchor string, n long, confidence double"
+    baskets = cut(labelled.select(tokens(F.col("url")).alias("items"), F.coalesce("bad", F.lit(False)).alias("bad")).filter(F.size("items") > 0))
+    n = baskets.count()
     least = max(min_count, math.ceil(min_support * n))
-    if n < least:
-        return labelled.sparkSession.createDataFrame([], schema)
-    found = cut(FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n).fit(baskets).freqItemsets.select(F.sort_array("items").alias("items"), "freq"))
-    alone = found.filter(F.size("items") == 1).select(F.col("items")[0].alias("t"), F.col("freq").alias("f"))
-    bad = found.filter(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("n")).filter(F.size("items") <= max_tokens)
-    rules = bad.join(found, "items").withColumn("confidence", F.col("n") / F.col("freq")).filter(F.col("confidence") >= min_confidence)
+    often = baskets.filter("bad").select(F.explode("items").alias("t")).groupBy("t").count().filter(F.col("count") >= least).select("t")
+    seated = baskets.withColumn("_b", F.monotonically_increasing_id()).select("_b", "bad", F.explode("items").alias("t"))
+    baskets = cut(seated.join(small(often), "t").groupBy("_b").agg(F.collect_list("t").alias("items"), F.first("bad").alias("bad")))
+    short, count = short_baskets(baskets, max_tokens)
+    named = F.transform("items", lambda t: F.concat("tag", F.lit("|"), t))
+    short = cut(short.select(F.when(F.col("bad"), F.array_append(named, F.concat("tag", F.lit("|" + BAD)))).otherwise(named).alias("items")))
+    total = short.count()
+    if total < least:
+        return spark.createDataFrame([], schema)
+    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total).fit(short).freqItemsets.filter(F.size("items") <= max_tokens + 1)
+    found = found.select(F.substring_index(F.col("items")[0], "|", 1).alias("tag"), F.sort_array(F.transform("items", lambda t: F.regexp_replace(t, r"(?s)^[0-9.]+\|", ""))).alias("items"), "freq")
+    plain = F.filter("items", lambda t: t != BAD)
+    own = F.array_join(F.array_sort(F.array_distinct(F.transform(plain, lambda t: F.pmod(F.xxhash64(t), F.lit(count)).cast("int")))), ".")
+    found = cut(found.filter((F.size(plain) > 0) & (own == F.col("tag"))).select(plain.alias("items"), F.array_contains("items", BAD).alias("bad"), "freq"))
+    whole = found.filter("NOT bad").select("items", "freq")
+    alone = whole.filter(F.size("items") == 1).select(F.col("items")[0].alias("t"), F.col("freq").alias("f"))
+    bad = found.filter("bad").select("items", F.col("freq").alias("n")).filter(F.size("items") <= max_tokens)
+    rules = bad.join(whole, "items").withColumn("confidence", F.col("n") / F.col("freq")).filter(F.col("confidence") >= min_confidence)
     rarest = rules.select("*", F.explode("items").alias("t")).join(alone, "t").groupBy("items", "n", "confidence").agg(F.min_by("t", F.struct("f", "t")).alias("anchor"))
     return rarest.select("items", "anchor", "n", "confidence")
 

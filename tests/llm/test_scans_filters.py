@@ -1,3 +1,5 @@
+import collections
+import itertools
 import random
 
 import pyarrow as pa
@@ -63,3 +65,31 @@ def test_host_and_path(spark, url, host, path):
     from pyspark.sql import functions as F
 
     assert tuple(spark.range(1).select(*url_filters.host_path(F.lit(url).cast("string"))).first()) == (host, path)
+
+
+def _rules_by_counting(rows, least, confidence, most):
+    """All combinations of at most ``most`` tokens that are often bad, by counting them basket by basket."""
+    seen, bad = collections.Counter(), collections.Counter()
+    for items, is_bad in rows:
+        for k in range(1, most + 1):
+            for combo in itertools.combinations(sorted(items), k):
+                seen[combo] += 1
+                bad[combo] += is_bad
+    return {c: (n, n / seen[c]) for c, n in bad.items() if n >= least and n / seen[c] >= confidence}
+
+
+def test_long_urls_are_mined_whole(spark):
+    """Urls of 16 to 60 tokens that come together or overlap: every rule of up to three tokens, and no subset of 60."""
+    rnd = random.Random(8)
+    names = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    urls = [("http://ab.cd/" + "/".join(names), True)] * 11
+    urls += [("http://ef.gh/" + "/".join(sorted(rnd.sample(names[:24], 16))), rnd.random() < 0.8) for _ in range(60)]
+    urls += [("http://ab.cd/" + names[i % 60], False) for i in range(30)] + [(None, True), ("none", True)]
+    table = spark.createDataFrame(urls, "url string, bad boolean")
+    baskets = [(r.t, r.bad) for r in table.select(url_filters.tokens("url").alias("t"), "bad").collect() if r.t]
+    want = _rules_by_counting(baskets, 10, 0.7, 3)
+    got = {tuple(sorted(r["items"])): (r.n, r.confidence) for r in url_filters.mine_rules(table, 0.001, 10, 0.7, 3).collect()}
+    assert len(want) > 30_000 and got == want
+    narrow = table.filter("url LIKE '%ef.gh%'")
+    assert {tuple(sorted(r["items"])) for r in url_filters.mine_rules(narrow, 0.001, 40, 0.7, 2).collect()} == set(_rules_by_counting([b for b in baskets if "h:ef" in b[0]], 40, 0.7, 2))
+    assert url_filters.mine_rules(table.filter("NOT bad"), 0.001, 10, 0.7, 3).count() == 0

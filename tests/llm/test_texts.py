@@ -1,7 +1,9 @@
+import json
 import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -119,3 +121,24 @@ def test_page_records(spark):
     rows = [(1, "http://a.b.de:80/x", "<!DOCTYPE html><HTML class='x' lang='de'><script>var x='</p>'</script><!-- no --><p>Das <b>ist</b></p></html>"), (2, None, None), (3, "x", "")]
     got = [tuple(r) for r in language_id.page_records(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
     assert [(a, " ".join(b.split()), c, d) for a, b, c, d in got] == [(1, "Das ist", "de", "a.b.de"), (2, "", None, None), (3, "", None, None)]
+
+
+def test_token_counts_refuse_other_cuts():
+    """Files whose tokens may span white space or digits are refused, not counted wrongly."""
+    with open(WORDS, encoding="utf-8") as f:
+        good = json.load(f)
+    token_counts.check_cuts(json.dumps(good))
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f, pytest.raises(ValueError, match="white space"):
+        token_counts.check_cuts(f.read())
+    for change, what in (
+        (lambda d: d["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=r" ?[a-z]+|[0-9]"), "white space"),
+        (lambda d: d["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=r"[a-z]+|[0-9]+"), "digit"),
+        (lambda d: d["pre_tokenizer"]["pretokenizers"][0].update(behavior="Isolated"), "splitter"),
+        (lambda d: d["normalizer"]["normalizers"].append({"type": "Strip"}), "normalizer"),
+        (lambda d: d["added_tokens"].append({"content": "a 1"}), "added"),
+        (lambda d: d.update(pre_tokenizer=None), "splitter"),
+    ):
+        other = json.loads(json.dumps(good))
+        change(other)
+        with pytest.raises(ValueError, match=what):
+            token_counts.check_cuts(json.dumps(other))
