@@ -14,7 +14,7 @@ from ..operators import labels as lb
 from ..operators import quality as qa
 from ..operators.containment import points_in_prisms
 from ..schema import GATE_MAX_P90, GATE_MAX_REVIEW, GATE_MIN_P50, GATE_MIN_POINTS
-from ..session import shared_folder
+from ..session import cut, shared_folder
 from ..sources import sinks
 from . import adapters as ad
 from .basics import BOX, BOX_SQL, R, _QUAD
@@ -484,6 +484,24 @@ def _(s, d):
     return lb.fold_log(base, log).select("point_id", "class_id")
 
 
+@query("lab8_session_history", """WITH d AS (SELECT ka, cand_id+1 AS e FROM li UNION SELECT ka, 20+preseg_id%3 FROM li),
+g AS (SELECT *, row_number() OVER (PARTITION BY ka ORDER BY e DESC) > CASE WHEN ka=1 THEN 1 ELSE 2 END AS active FROM d)
+SELECT point_id, CAST(li.ka AS VARCHAR) AS session_id, CASE WHEN b.active THEN 7 WHEN a.active THEN preseg_id%6 ELSE ca END AS class_id FROM li JOIN g a ON a.ka=li.ka AND a.e=cand_id+1 JOIN g b ON b.ka=li.ka AND b.e=20+preseg_id%3""", "li")
+def _(s, d):
+    """Four sessions with the same edit numbers: all undo twice, session 0 once more, then sessions 0 and 1 redo one."""
+    from ..operators import history as hi
+
+    rows = ad.points(s, d, "preseg_id", "cand_id", "ka").withColumn("session_id", F.col("ka").cast("string"))
+    base = rows.join(ad.labels(s, d).select("scan_id", "point_id", "class_id", "instance_id", "category"), ["scan_id", "point_id"])
+    after = lambda seq, c: base.select("scan_id", "session_id", "point_id", seq.cast("bigint").alias("edit_seq"), c.cast("int").alias("after_class_id"), F.col("instance_id").alias("after_instance_id"), F.col("category").alias("after_category"))
+    deltas = after(F.col("cand_id") + 1, F.col("preseg_id") % 6).unionByName(after(20 + F.col("preseg_id") % 3, F.lit(7)))
+    marks, every = cut(hi.made(deltas, 0)), base.select("scan_id", "session_id").distinct()
+    some = lambda *names: every.filter(F.col("session_id").isin(*names))
+    for at, (step, asked) in enumerate([(hi.undo, every), (hi.undo, every), (hi.undo, some("0")), (hi.redo, some("0", "1"))], start=1):
+        marks = marks.unionByName(cut(step(marks, asked, at)))
+    return hi.fold_marks(base, deltas, marks).select("point_id", "session_id", "class_id")
+
+
 @query("lab12_instance_class_map", "SELECT coalesce(f.ia, \"segId\") AS instance_id, coalesce(class_id, c) AS class_id FROM (SELECT ia, arg_min(ca,point_id) c FROM li WHERE ia>=0 GROUP BY 1) f FULL JOIN (SELECT * FROM inst WHERE \"segId\"%2=0) i ON ia=\"segId\"", "li inst")
 def _(s, d):
     return ex.instance_class_map(ad.instances(s, d).filter("segId%2=0"), ad.labels(s, d))

@@ -531,7 +531,19 @@ def _(s, d):
     return faces_in_selection_bbox(tri, sel, 0.503).select("face_id")
 
 
-@query("str2_edit_stream")
+_HISTORY = """WITH RECURSIVE c AS (SELECT CAST(user_id%5 AS VARCHAR) AS session_id, event_id AS seq, event_type='purchase' AS fresh,
+  CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'set' END AS op, row_number() OVER (PARTITION BY user_id%5 ORDER BY event_id) AS i FROM events),
+h AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS u, CAST([] AS BIGINT[]) AS r, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, '' AS op, CAST(NULL AS BIGINT) AS target, CAST(-1 AS BIGINT) AS made FROM c
+ UNION ALL SELECT c.session_id, c.i,
+  CASE c.op WHEN 'undo' THEN u[1:len(u)-1] WHEN 'redo' THEN CASE WHEN len(r)>0 THEN list_append(u, r[len(r)]) ELSE u END ELSE list_append(u, c.seq)[greatest(1, len(u)-98):] END,
+  CASE c.op WHEN 'undo' THEN CASE WHEN len(u)>0 THEN list_append(r, u[len(u)]) ELSE r END WHEN 'redo' THEN r[1:len(r)-1] ELSE CAST([] AS BIGINT[]) END,
+  CASE WHEN c.op='set' THEN greatest(n, 100) + CASE WHEN fresh THEN 1 ELSE 0 END ELSE n END, c.seq, c.op,
+  CASE c.op WHEN 'undo' THEN u[len(u)] WHEN 'redo' THEN r[len(r)] ELSE c.seq END, CASE WHEN c.op='set' AND fresh THEN greatest(n, 100) ELSE -1 END
+  FROM h JOIN c ON c.session_id=h.session_id AND c.i=h.i+1)
+SELECT 'li' AS scan_id, session_id, seq AS edit_seq, op, target AS target_seq, op<>'undo' AS active, made AS new_instance_id FROM h WHERE target IS NOT NULL"""
+
+
+@query("str2_edit_stream", _HISTORY)
 def _(s, d):
     """Events as edit commands; the history of every session resolved by the stream."""
     from ..streaming.jobs import edit_stream
@@ -546,7 +558,7 @@ def _(s, d):
     out = _scratch(s)
     q = edit_stream(cmds, out, _scratch(s)).trigger(availableNow=True).start()
     q.awaitTermination()
-    return s.read.schema("scan_id string, session_id string, edit_seq bigint, op string, target_seq bigint, active boolean, new_instance_id bigint").parquet(out)
+    return s.read.schema("scan_id string, session_id string, edit_seq bigint, op string, target_seq bigint, active boolean, new_instance_id bigint").parquet(out).drop("epoch")
 
 
 @query("str1_replay_stream", _REPLAY, "emb")

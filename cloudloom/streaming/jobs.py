@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,8 @@ class SessionHistory(StatefulProcessor):
 
     State is the undo stack (at most ``HISTORY_CAP`` edits), the redo stack, the
     next instance id, and the sequence numbers seen so far, which drop replays.
-    A command that comes later than its number says still counts.
+    A command that comes later than its number says still counts: a late edit takes its place by number on the undo
+    stack, so that undo still takes back the newest edit, and leaves what newer edits and undos decided about redo.
     """
 
     def init(self, handle) -> None:
@@ -65,8 +68,10 @@ class SessionHistory(StatefulProcessor):
                 next_id = max(next_id, int(c.high_water) + 1)
                 if c.allocate:
                     new_id, next_id = next_id, next_id + 1
-                undo = (undo + [c.edit_seq])[-HISTORY_CAP:]
-                redo = []
+                late = max(undo + redo, default=c.edit_seq) > c.edit_seq
+                bisect.insort(undo, int(c.edit_seq))
+                undo = undo[-HISTORY_CAP:]
+                redo = redo if late else []
             out.append((key[0], key[1], c.edit_seq, c.op, target, active, new_id))
         self.state.update((undo, redo, next_id))
         yield pd.DataFrame(out, columns=["scan_id", "session_id", "edit_seq", "op", "target_seq", "active", "new_instance_id"])
