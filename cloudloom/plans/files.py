@@ -120,6 +120,34 @@ def _(s, d):
     return got.select(F.col("instance_id").cast("int").alias("instance_id"), R("radius", 2).alias("radius"), R(F.col("points")[1][0], 4).alias("x1"), "smooth")
 
 
+@query("src10_render_runs", "SELECT CAST(s_nationkey AS VARCHAR) AS run_id, CAST(count(*) AS INT) AS n_frames, bool_or(s_suppkey%7=0) AS has_target FROM supplier GROUP BY 1")
+def _(s, d):
+    """A render manifest per nation, a frame per supplier; some frames name what they look at."""
+    body = "named_struct('file', concat(s_suppkey, '.png'), 'position', array(s_acctbal, 0D, 1D), 'target', IF(s_suppkey % 7 = 0, array(0D, 0D, 0D), NULL))"
+    rows = ad.table(s, d, "supplier").selectExpr("CAST(s_nationkey AS STRING) AS run", "s_suppkey AS ord", f"{body} AS body")
+    got = doc.discover_render_runs(s, _documents(s, rows, "frames", "run"))
+    return got.select(F.regexp_extract("run_id", "=(.*)$", 1).alias("run_id"), F.col("n_frames").cast("int").alias("n_frames"), "has_target")
+
+
+_HEX = "CASE k%3 WHEN 0 THEN '00' WHEN 1 THEN '80' ELSE 'ff' END"
+
+
+@query("src11_class_registry", f"""WITH c AS (SELECT s_suppkey AS k, s_nationkey AS f, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS p FROM supplier)
+SELECT CAST(f AS VARCHAR) AS registry, CAST(k AS INT) AS id, 'part-'||k AS name, CASE WHEN k%2=0 THEN 'Part: '||k ELSE 'Part-'||k END AS label,
+ CASE k%4 WHEN 0 THEN '#'||{_HEX}||'00ff' WHEN 1 THEN '#5b8def' ELSE '#12ab'||CASE k%4 WHEN 2 THEN 'cd' ELSE 'ef' END END AS color,
+ CAST(CASE WHEN k%5=0 THEN k%10 ELSE p END AS VARCHAR) AS hotkey, CASE WHEN k%3=0 THEN 'pipes' ELSE '' END AS "group", k%6=0 AS frozen FROM c""")
+def _(s, d):
+    """A YAML class registry per nation with an entry per supplier: quoted and missing labels, colours in three forms."""
+    root = f"{shared_folder(s)}/registry-{uuid.uuid4().hex}"
+    color = "CASE k % 4 WHEN 0 THEN concat(', color: [', k % 3 / 2, ', 0, 1.0]') WHEN 1 THEN '' WHEN 2 THEN ', color: \"#12abcd\"' ELSE ', color: \"#12abef\"' END"
+    line = f"concat('  part-', k, ': {{ id: ', k, IF(k % 2 = 0, concat(', label: \"Part: ', k, '\"'), ''), {color}, IF(k % 5 = 0, concat(', key: \"', k % 10, '\"'), ''), IF(k % 3 = 0, ', group: pipes', ''), IF(k % 6 = 0, ', frozen: true', ''), ' }}')"
+    rows = ad.table(s, d, "supplier").selectExpr("s_nationkey AS nation", "s_suppkey AS k").selectExpr("nation", "k", f"{line} AS line")
+    packed = rows.groupBy("nation").agg(F.concat(F.lit("# classes\nclasses:\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda e: e["line"]), "\n")).alias("value"))
+    packed.write.partitionBy("nation").text(root)
+    got = doc.read_class_registry(s, f"{root}/*/*.txt")
+    return got.withColumn("registry", F.regexp_extract("file", "nation=([^/]+)/", 1)).drop("file")
+
+
 @query("src13_catalog", "SELECT 'annotated' AS tier, 'name='||n_name AS name, CAST(n_nationkey*10 AS BIGINT) AS n_points FROM nation WHERE n_nationkey%3<>0")
 def _(s, d):
     root = f"{shared_folder(s)}/catalog-{uuid.uuid4().hex}"

@@ -129,6 +129,50 @@ def read_classes(spark: SparkSession, path: str) -> DataFrame:
     return class_table(docs.select(F.posexplode("classes").alias("pos", "c")).select("pos", "c.*"))
 
 
+_REGISTRY = "file string, pos int, id int, name string, label string, color string, rgb array<double>, hotkey string, `group` string, frozen boolean"
+# Fixed value: the colour of a class that names none.
+CLASS_COLOR = "#5b8def"
+
+
+def _registry_rows(batches):
+    """One row per entry of the mapping ``classes`` of each YAML text (needs PyYAML on the workers)."""
+    import pandas as pd
+    import yaml
+
+    text = lambda v: None if v is None else str(v)
+    for batch in batches:
+        out = []
+        for file, value in zip(batch["file"], batch["value"]):
+            for pos, (name, body) in enumerate(((yaml.safe_load(value) or {}).get("classes") or {}).items()):
+                body = body if isinstance(body, dict) else {}
+                color = body.get("color")
+                rgb = [float(c) for c in color[:3]] if isinstance(color, list) else None
+                number = body.get("id")
+                out.append((file, pos, None if number is None else int(number), str(name), text(body.get("label")), None if rgb else text(color), rgb, text(body.get("key", body.get("hotkey"))), text(body.get("group")), bool(body.get("frozen", False))))
+        frame = pd.DataFrame(out, columns=["file", "pos", "id", "name", "label", "color", "rgb", "hotkey", "group", "frozen"])
+        yield frame.astype({"id": "Int32"})
+
+
+def read_class_registry(spark: SparkSession, paths) -> DataFrame:
+    """(file, id, name, label, color, hotkey, group, frozen) of YAML registries: a mapping ``classes`` from name to body.
+
+    The explicit id counts, else the place in the mapping; an id given twice in one file is an error.  Without a label the
+    name is capitalised, without a key the place from 1 is taken; a colour is text or three parts of 1.  Empty files and
+    files without ``classes`` have no rows.
+    """
+    texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = texts.mapInPandas(_registry_rows, _REGISTRY)
+    hex2 = lambda i: F.lpad(F.hex(F.bround(F.col("rgb")[i] * 255).cast("bigint")), 2, "0")
+    number = F.coalesce("id", "pos")
+    twice = F.count("*").over(Window.partitionBy("file", number)) > 1
+    checked = F.when(twice, F.raise_error(F.concat(F.lit("duplicate class id in "), F.col("file"))).cast("int")).otherwise(number)
+    return rows.select(
+        "file", checked.alias("id"), "name", F.coalesce("label", F.initcap("name")).alias("label"),
+        F.coalesce("color", F.lower(F.concat(F.lit("#"), hex2(0), hex2(1), hex2(2))), F.lit(CLASS_COLOR)).alias("color"),
+        F.coalesce("hotkey", (F.col("pos") + 1).cast("string")).alias("hotkey"), F.coalesce("group", F.lit("")).alias("group"), "frozen",
+    )
+
+
 _SCAN_META = "scan_name string, n_points bigint, schema_version string, source_mesh string, source_laz string, class_map_version int"
 
 

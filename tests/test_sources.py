@@ -114,3 +114,14 @@ def test_save_keeps_newest_versions_and_checks(spark, tmp_path):
     bad = lab.selectExpr("scan_id", "point_id", "-1 AS class_id", "instance_id")
     with pytest.raises(ValueError, match="VAL1"):
         sinks.save_labels(bad, root, checks=[class_iff_instance(bad)])
+
+
+def test_class_registry(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yaml").write_text("classes:\n  big pipe: { color: [0.5, 0, 1], frozen: true }\n  tee: { id: 7, label: Tee, hotkey: x, group: g }\n  odd:\n")
+    (tmp_path / "b.yaml").write_text("")
+    rows = {r.name: (r.id, r.label, r.color, r.hotkey, r.group, r.frozen) for r in doc.read_class_registry(spark, str(tmp_path)).collect()}
+    assert rows == {"big pipe": (0, "Big Pipe", "#8000ff", "1", "", True), "tee": (7, "Tee", "#5b8def", "x", "g", False), "odd": (2, "Odd", "#5b8def", "3", "", False)}
+    (tmp_path / "c.yaml").write_text("classes:\n  a: { id: 1 }\n  b: {}\n")
+    with pytest.raises(Exception, match="duplicate class id"):
+        doc.read_class_registry(spark, str(tmp_path)).collect()
